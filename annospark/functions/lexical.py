@@ -33,6 +33,7 @@ LONE = chr(0xFDEF)
 RESERVED = "[﷐-﷯]"
 STRING_NEWLINE = _STRING_SWAP[_STRING_CHARS.index("\n")]
 BRACKET_NEWLINE = _BRACKET_SWAP[0]
+CONTINUATION = _STRING_SWAP[3] + STRING_NEWLINE
 _DOUBLE, _SINGLE, _BACKSLASH = _STRING_SWAP[0], _STRING_SWAP[1], _STRING_SWAP[3]
 
 # Possessive, unrolled forms: the Java matcher stays iterative on long input.
@@ -78,6 +79,11 @@ def unix_newlines(source: Column) -> Column:
     return F.when(source.contains("\r"), F.regexp_replace(source, "\r\n?", "\n")).otherwise(source)
 
 
+def tokens(source: Column) -> Column:
+    """Array of strings, comments, continuations and the code between them."""
+    return F.regexp_extract_all(source, F.lit(_TOKENS), F.lit(0))
+
+
 def veil_strings(source: Column) -> Column:
     """Hide what strings, comments and backslash continuations contain."""
 
@@ -92,8 +98,7 @@ def veil_strings(source: Column) -> Column:
             .otherwise(token)
         )
 
-    tokens = F.regexp_extract_all(source, F.lit(_TOKENS), F.lit(0))
-    return F.array_join(F.transform(tokens, one), "")
+    return F.array_join(F.transform(tokens(source), one), "")
 
 
 def veil_brackets(text: Column) -> Column:

@@ -66,17 +66,24 @@ def report(files: DataFrame) -> DataFrame:
     )
 
 
-def split_parse_errors(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable paths, and the dead letters ``path, line, stage, message``."""
-    status = scan.parse_status(files)
-    bad = status.where(F.col("error").isNotNull()).select(
+def parse_errors(status: DataFrame) -> DataFrame:
+    """Dead letters ``path, line, stage, message`` from file status rows."""
+    message = F.concat_ws(
+        "", F.lit("Failed to parse file: "), "error", F.lit(" at line "),
+        F.col("error_line").cast("string"),
+    )
+    return status.where(F.col("error").isNotNull()).select(
         "path",
         F.lit(None).cast("int").alias("line"),
         F.lit("Parse error").alias("stage"),
-        F.concat_ws("", F.lit("Failed to parse file: "), "error", F.lit(" at line "),
-                    F.col("error_line").cast("string")).alias("message"),
-    )
-    return status.where(F.col("error").isNull()).select("path"), bad
+        message.alias("message"),
+    )
+
+
+def split_parse_errors(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable paths, and the dead letters."""
+    status = scan.parse_status(files)
+    return status.where(F.col("error").isNull()).select("path"), parse_errors(status)
 
 
 def gate(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annospark.functions.lexical import unix_newlines
-from annospark.functions.text import quote, strip
+from annospark.functions.text import quote
 from annospark.operators import scan
 
 ADDED, UPDATED, UNCHANGED = "added", "updated", "unchanged"
@@ -141,19 +141,16 @@ def apply_edits(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
     )
 
 
+def apply_all(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
+    """The whole corpus, changed where it has edits."""
+    joined = files.join(edits_by_file(edit_rows), "path", "left")
+    source = F.col("source")
+    done = F.when(F.col("edits").isNull(), source).otherwise(patched(source, F.col("edits")))
+    return joined.select("path", done.alias("source"))
+
+
 def inject(
     files: DataFrame, new: DataFrame, overwrite: bool = False, by_name: bool = False
 ) -> DataFrame:
     """The whole corpus with the docstrings of ``new`` in place."""
-    edit_rows = edits(targets(scan.function_sites(files), new, by_name), overwrite)
-    joined = files.join(edits_by_file(edit_rows), "path", "left")
-    return joined.select(
-        "path",
-        F.when(F.col("edits").isNull(), F.col("source"))
-        .otherwise(patched(F.col("source"), F.col("edits")))
-        .alias("source"),
-    )
-
-
-def same_text(a: Column, b: Column) -> Column:
-    return strip(a).eqNullSafe(strip(b))
+    return apply_all(files, edits(targets(scan.function_sites(files), new, by_name), overwrite))

@@ -45,9 +45,9 @@ def excluded(path: Column, patterns: Sequence[str]) -> Column:
 
     def verdict(p: Column) -> Column:
         (negated, regex), *earlier = reversed(runs)
-        result = F.when(p.rlike(regex), not negated)
+        result = F.when(F.rlike(p, regex), not negated)
         for negated, regex in earlier:
-            result = result.when(p.rlike(regex), not negated)
+            result = result.when(F.rlike(p, regex), not negated)
         return result.otherwise(False)
 
     if any(negated for negated, _ in runs):
@@ -101,7 +101,9 @@ def apply_rule_table(
         return F.aggregate(
             F.col("runs"),
             F.lit(False),
-            lambda out, r: F.when(F.regexp_extract(p, r["regex"], 0) != "", ~r["negated"]).otherwise(out),
+            lambda out, r: F.when(
+                F.regexp_substr(p, r["regex"]).isNotNull(), ~r["negated"]
+            ).otherwise(out),
         )
 
     gone = F.when(F.col("plain"), verdict(F.col(path))).otherwise(

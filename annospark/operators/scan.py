@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annospark.functions import lexical as lx
+from annospark.functions.cached import per_context
 from annospark.functions.text import clean_existing, head_lines, strip
 
 _HEADER = r"(?U)^\s*+(?:(?:async\s++)?+def|class)\b"
@@ -34,52 +35,68 @@ def _is_doc(text: Column) -> Column:
     return text.rlike(_DOCSTRING)
 
 
+def tokens(files: DataFrame) -> DataFrame:
+    """``path, pos, kind, token``: strings, comments, continuations and what is between."""
+    first = F.substring("token", 1, 1)
+    kind = (
+        F.when(F.col("token").isin('"', "'", '"""', "'''"), "open string")
+        .when(first.isin('"', "'"), "string")
+        .when(first == "#", "comment")
+        .when(F.col("token") == "\\\n", "continuation")
+        .otherwise("code")
+    )
+    split = F.posexplode(lx.tokens(lx.unix_newlines(F.col("source")))).alias("pos", "token")
+    return files.select("path", split).select("path", "pos", kind.alias("kind"), "token")
+
+
+@per_context
+def _veil_columns() -> tuple[Column, Column, Column]:
+    source = F.col("source")
+    fault = F.when(source.isNull(), "unreadable source").when(
+        source.rlike(lx.RESERVED), "reserved character"
+    )
+    return lx.veil_strings(lx.unix_newlines(source)), lx.veil_brackets(F.col("_strings")), fault
+
+
 def veiled(files: DataFrame) -> DataFrame:
-    """Adds ``text``: the source with strings, comments and brackets veiled."""
-    return (
-        files.withColumn("_s", lx.veil_strings(lx.unix_newlines(F.col("source"))))
-        .withColumn("text", lx.veil_brackets(F.col("_s")))
-        .withColumn(
-            "fault",
-            F.when(F.col("source").isNull(), "unreadable source").when(
-                F.col("source").rlike(lx.RESERVED), "reserved character"
-            ),
-        )
-        .drop("_s")
+    """Adds ``text``, the source with strings, comments and brackets veiled, and
+    ``fault``, why it cannot be scanned at all."""
+    strings, brackets, fault = _veil_columns()
+    keep = [c for c in files.columns if c != "source"]
+    return files.select(*keep, strings.alias("_strings"), fault.alias("fault")).select(
+        *keep, "fault", brackets.alias("text")
     )
 
 
-def logical_lines(files: DataFrame) -> DataFrame:
-    """Adds ``lines``: array of (text, line) with ``line`` the first physical line."""
+@per_context
+def _line_columns() -> tuple[Column, Column]:
     physical = F.split(F.col("text"), f"\n|(?=[{lx.STRING_NEWLINE}{lx.BRACKET_NEWLINE}])")
     goes_on = (lx.STRING_NEWLINE, lx.BRACKET_NEWLINE)
+    starts = F.filter(
+        F.transform(physical, lambda p, i: F.when(~F.substring(p, 1, 1).isin(*goes_on), i + 1)),
+        lambda n: n.isNotNull(),
+    )
+    lines = F.zip_with(
+        F.split(F.col("text"), "\n"),
+        F.col("_starts"),
+        lambda t, n: F.struct(t.alias("text"), n.alias("line")),
+    )
+    return starts, lines
+
+
+def logical_lines(files: DataFrame) -> DataFrame:
+    """Adds ``lines``: array of (text, line) with ``line`` the first physical line."""
+    starts, lines = _line_columns()
+    keep = [c for c in files.columns if c != "source"] + ["fault"]
     return (
         veiled(files)
-        .withColumn("_physical", physical)
-        .withColumn(
-            "_starts",
-            F.filter(
-                F.transform(
-                    F.col("_physical"),
-                    lambda p, i: F.when(~F.substring(p, 1, 1).isin(*goes_on), i + 1),
-                ),
-                lambda n: n.isNotNull(),
-            ),
-        )
-        .withColumn(
-            "lines",
-            F.zip_with(
-                F.split(F.col("text"), "\n"),
-                F.col("_starts"),
-                lambda t, n: F.struct(t.alias("text"), n.alias("line")),
-            ),
-        )
-        .drop("_physical", "_starts", "text")
+        .select(*keep, "text", starts.alias("_starts"))
+        .select(*keep, lines.alias("lines"))
     )
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """Adds ``stmts``: array of (at, line, text, bare, indent, header), code lines only."""
+@per_context
+def _statement_column() -> Column:
     coded = F.filter(
         F.transform(
             F.col("lines"),
@@ -92,22 +109,24 @@ def statements(files: DataFrame) -> DataFrame:
         ),
         lambda l: (l["bare"] != "") & ~l["bare"].startswith("#"),
     )
-    return logical_lines(files).withColumn(
-        "stmts",
-        F.transform(
-            coded,
-            lambda s: F.struct(
-                s["at"].alias("at"),
-                s["line"].alias("line"),
-                s["text"].alias("text"),
-                s["bare"].alias("bare"),
-                lx.indent_width(s["text"], s["bare"]).alias("indent"),
-                _is_header(s["bare"]).alias("header"),
-            ),
+    return F.transform(
+        coded,
+        lambda s: F.struct(
+            s["at"].alias("at"),
+            s["line"].alias("line"),
+            s["text"].alias("text"),
+            s["bare"].alias("bare"),
+            lx.indent_width(s["text"], s["bare"]).alias("indent"),
+            _is_header(s["bare"]).alias("header"),
         ),
     )
 
 
+def statements(files: DataFrame) -> DataFrame:
+    """Adds ``stmts``: array of (at, line, text, bare, indent, header), code lines only."""
+    return logical_lines(files).withColumn("stmts", _statement_column())
+
+
 def _is_header(bare: Column) -> Column:
     quick = bare.startswith("def") | bare.startswith("class") | bare.startswith("async")
     return quick & bare.rlike(_HEADER)
@@ -135,25 +154,28 @@ def _problem(s: Column, after: Column) -> Column:
     )
 
 
-def _with_status(stmts: DataFrame) -> DataFrame:
+@per_context
+def _status_columns() -> tuple[Column, Column]:
+    stmts = F.col("stmts")
     first_bad = F.get(
         F.filter(
             F.transform(
-                F.col("stmts"),
-                lambda s, i: F.when(_problem(s, F.get(F.col("stmts"), i + 1)).isNotNull(), i),
+                stmts, lambda s, i: F.when(_problem(s, F.get(stmts, i + 1)).isNotNull(), i)
             ),
             lambda i: i.isNotNull(),
         ),
         F.lit(0),
     )
-    bad = F.get(F.col("stmts"), F.col("_bad"))
-    after = F.get(F.col("stmts"), F.col("_bad") + 1)
+    bad, after = F.get(stmts, F.col("_bad")), F.get(stmts, F.col("_bad") + 1)
     fault = F.struct(F.lit(0).alias("line"), F.col("fault").alias("error"))
     found = F.struct(bad["line"].alias("line"), _problem(bad, after).alias("error"))
-    return stmts.withColumn("_bad", first_bad).withColumn(
-        "problem",
-        F.when(F.col("fault").isNotNull(), fault).when(F.col("_bad").isNotNull(), found),
-    )
+    problem = F.when(F.col("fault").isNotNull(), fault).when(F.col("_bad").isNotNull(), found)
+    return first_bad, problem
+
+
+def _with_status(stmts: DataFrame) -> DataFrame:
+    first_bad, problem = _status_columns()
+    return stmts.withColumn("_bad", first_bad).withColumn("problem", problem)
 
 
 def _settled(df: DataFrame, *columns: str) -> DataFrame:
@@ -176,17 +198,20 @@ def parse_status(files: DataFrame) -> DataFrame:
     are not headers, headers without a body and stray indents.
     """
     keep = [c for c in files.columns if c != "source"]
-    return _settled(_with_status(statements(files)).select(*keep, "problem"), "problem").select(
+    found = _with_status(statements(files)).select(*keep, "problem")
+    return _settled(found, "problem").select(
         *keep, F.col("problem.line").alias("error_line"), F.col("problem.error").alias("error")
     )
 
 
-def _scopes(headers: Column) -> Column:
+@per_context
+def _scopes_column() -> Column:
     """Innermost enclosing class per header.
 
     The stack of open classes is folded over the headers of one top-level
     definition at a time, so the fold stays as small as that definition.
     """
+    headers = F.col("_headers")
     empty = F.struct(
         F.expr("cast(array() as array<struct<indent:int,name:string>>)").alias("open"),
         F.expr("cast(array() as array<string>)").alias("out"),
@@ -213,28 +238,19 @@ def _scopes(headers: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda b: F.aggregate(b, empty, step, lambda a: a["out"])))
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """One row per ``def``/``class`` of every file, plus one null row (``line_number``
-    null) for a file that has none or cannot be read.
-
-    Columns beside the caller's (without ``source``): ``error_line, error`` of the
-    file and, for a header, ``line_number, indent, is_class, parent_class, text``
-    (veiled header), ``after`` (next statement), ``body`` (veiled lines that may
-    belong to the preview).
-    """
-    keep = [c for c in files.columns if c != "source"]
-    stmts = F.col("stmts")
+@per_context
+def _header_columns() -> tuple[Column, Column]:
+    stmts, places = F.col("stmts"), F.col("_at")
     at = F.filter(
-        F.transform(stmts, lambda s, i: F.when(s["header"], i)),
-        lambda i: i.isNotNull(),
+        F.transform(stmts, lambda s, i: F.when(s["header"], i)), lambda i: i.isNotNull()
     )
 
     def header(i: Column, n: Column) -> Column:
         this, after = F.get(stmts, i), F.get(stmts, i + 1)
-        since = F.coalesce(F.get(F.col("_at"), n - 1), F.lit(-1)) + 1
-        documented = _is_doc(after["text"]) & (after["indent"] > this["indent"])
+        since = F.coalesce(F.get(places, n - 1), F.lit(-1)) + 1
+        documented = (after["indent"] > this["indent"]) & _is_doc(after["text"])
         first = F.when(documented, i + 1).otherwise(i)
-        inside = F.slice(stmts, first + 2, PREVIEW_LINES)
+        place = F.get(stmts, first)["at"]
         return F.struct(
             this["line"].alias("line_number"),
             this["indent"].alias("indent"),
@@ -245,30 +261,43 @@ def headers(files: DataFrame) -> DataFrame:
             ).alias("low"),
             this["text"].alias("text"),
             after.alias("after"),
-            F.get(stmts, first)["at"].alias("first"),
+            place.alias("first"),
             F.transform(
-                inside, lambda s: F.struct(s["at"].alias("at"), s["indent"].alias("indent"))
+                F.slice(stmts, first + 2, PREVIEW_LINES),
+                lambda s: F.struct(s["at"].alias("at"), s["indent"].alias("indent")),
             ).alias("inside"),
-            F.slice(F.col("lines"), F.get(stmts, first)["at"] + 2, PREVIEW_LINES).alias("body"),
+            F.slice(F.col("lines"), place + 2, PREVIEW_LINES).alias("body"),
         )
 
-    resolved = (
+    return F.when(F.col("problem").isNull(), at), F.transform(places, header)
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """One row per ``def``/``class`` of every file, plus one null row (``line_number``
+    null) for a file that has none or cannot be read.
+
+    Columns beside the caller's (without ``source``): ``error_line, error`` of the
+    file, ``nth`` (0 on exactly one row per file) and, for a header, ``line_number,
+    indent, name, is_class, parent_class, text`` (veiled header), ``after`` (next
+    statement) and what the preview needs.
+    """
+    keep = [c for c in files.columns if c != "source"]
+    at, found = _header_columns()
+    per_file = (
         _with_status(statements(files))
-        .withColumn("_at", F.when(F.col("problem").isNull(), at))
-        .withColumn("_headers", F.transform(F.col("_at"), header))
-        .withColumn("_scopes", _scopes(F.col("_headers")))
-    )
-    per_file = resolved.select(
-        *keep,
-        F.col("problem.line").alias("error_line"),
-        F.col("problem.error").alias("error"),
-        F.arrays_zip("_headers", "_scopes").alias("_zip"),
+        .select(*keep, "lines", "stmts", "problem", at.alias("_at"))
+        .select(*keep, "problem", found.alias("_headers"))
+        .select(*keep, "problem", F.arrays_zip("_headers", _scopes_column().alias("_scopes")).alias("_zip"))
     )
+    status = [F.col("problem.line").alias("error_line"), F.col("problem.error").alias("error")]
     return (
-        _settled(per_file, "error_line", "error", "_zip")
-        .select(*keep, "error_line", "error", F.explode_outer("_zip").alias("h"))
-        .select(*keep, "error_line", "error", "h._headers.*", F.col("h._scopes").alias("parent_class"))
-    )
+        _settled(per_file, "problem", "_zip")
+        .select(*keep, *status, F.posexplode_outer("_zip").alias("nth", "h"))
+        .select(
+            *keep, "error_line", "error", F.coalesce("nth", F.lit(0)).alias("nth"),
+            "h._headers.*", F.col("h._scopes").alias("parent_class"),
+        )
+    )
 
 
 def _signature_parts(text: Column) -> tuple[Column, Column]:
@@ -292,7 +321,9 @@ def parameters(inner: Column) -> Column:
     parts = F.regexp_extract_all(
         lx.open_brackets(text), F.lit(rf"(?:[^,()\[\]{{}}]++|{lx.GROUP})++"), F.lit(0)
     )
-    parts = F.filter(F.transform(parts, strip), lambda p: ~p.isin("", "*", "/"))
+    lead = rf"^(?:\s|{lx.CONTINUATION})++"
+    parts = F.transform(parts, lambda p: strip(F.regexp_replace(p, lead, "")))
+    parts = F.filter(parts, lambda p: ~p.isin("", "*", "/"))
     ordered = F.concat(
         F.filter(parts, lambda p: ~p.startswith("*")),
         F.filter(parts, lambda p: p.startswith("*") & ~p.startswith("**")),
@@ -338,40 +369,41 @@ def _preview(indent: Column, first: Column, inside: Column, body: Column) -> Col
     return F.when(count > 0, head_lines(F.rtrim(lx.show(text)), PREVIEW_LINES)).otherwise("")
 
 
+@per_context
+def _record_columns() -> dict[str, Column]:
+    text, after = F.col("text"), F.col("after")
+    inner, returns = _signature_parts(text)
+    tail = strip(F.regexp_extract(text, r"(?s)^[^:]*+:(.*)$", 1))
+    deeper = F.coalesce(after["indent"] > F.col("indent"), F.lit(False))
+    literal = lx.show(F.regexp_extract(after["text"], _DOCSTRING, 1))
+    rest = strip(lx.show(F.regexp_extract(after["text"], r"(?s);(.*)$", 1)))
+    return_type = strip(lx.show(returns))
+    documented = F.col("has_docstring")
+    preview = _preview(F.col("indent"), F.col("first"), F.col("inside"), F.col("body"))
+    return {
+        "one_line": (tail != "") & ~tail.startswith("#"),
+        "has_docstring": ~F.col("one_line") & deeper & F.coalesce(_is_doc(after["text"]), F.lit(False)),
+        "docstring_raw": F.when(documented, literal),
+        "existing_docstring": clean_existing(F.col("docstring_raw")),
+        "params": parameters(inner),
+        "return_type": F.when(return_type != "", return_type),
+        "body_preview": F.when(F.col("one_line"), "").otherwise(preview),
+        "header_end": F.col("line_number") + lx.newline_count(text),
+        "doc_end": F.when(documented, after["line"] + lx.newline_count(after["text"])),
+        "doc_rest": F.when(documented, rest),
+        "body_indent": lx.show(F.regexp_extract(after["text"], r"^[ \t]*+", 0)),
+    }
+
+
 def records(headed: DataFrame) -> DataFrame:
     """Adds the readable columns to ``headers`` rows; unused ones are pruned."""
-    inner, returns = _signature_parts(F.col("text"))
-    tail = strip(F.regexp_extract(F.col("text"), r"(?s)^[^:]*+:(.*)$", 1))
-    one_line = (tail != "") & ~tail.startswith("#")
-    has_doc = (
-        ~one_line
-        & F.coalesce(F.col("after.indent") > F.col("indent"), F.lit(False))
-        & F.coalesce(_is_doc(F.col("after.text")), F.lit(False))
-    )
-    literal = lx.show(F.regexp_extract(F.col("after.text"), _DOCSTRING, 1))
-    return_type = strip(lx.show(returns))
-    end_of_header = F.col("line_number") + lx.newline_count(F.col("text"))
-    doc_end = F.col("after.line") + lx.newline_count(F.col("after.text"))
-    return (
-        headed.withColumn("one_line", one_line)
-        .withColumn("has_docstring", has_doc)
-        .withColumn("docstring_raw", F.when(F.col("has_docstring"), literal))
-        .withColumn("existing_docstring", clean_existing(F.col("docstring_raw")))
-        .withColumn("params", parameters(inner))
-        .withColumn("return_type", F.when(return_type != "", return_type))
-        .withColumn(
-            "body_preview",
-            F.when(F.col("one_line"), "").otherwise(
-                _preview(F.col("indent"), F.col("first"), F.col("inside"), F.col("body"))
-            ),
-        )
-        .withColumn("header_end", end_of_header)
-        .withColumn("doc_end", F.when(F.col("has_docstring"), doc_end))
-        .withColumn("doc_rest", F.when(
-            F.col("has_docstring"),
-            strip(lx.show(F.regexp_extract(F.col("after.text"), r"(?s);(.*)$", 1)))))
-        .withColumn("body_indent", lx.show(F.regexp_extract(F.col("after.text"), r"^[ \t]*+", 0)))
-    )
+    columns = dict(_record_columns())
+    first = {"one_line": columns.pop("one_line")}
+    second = {"has_docstring": columns.pop("has_docstring")}
+    third = {"docstring_raw": columns.pop("docstring_raw")}
+    for step in (first, second, third, columns):
+        headed = headed.withColumns(step)
+    return headed
 
 
 _FUNCTION_COLUMNS = [
@@ -387,14 +419,34 @@ def functions(files: DataFrame) -> DataFrame:
     return records(found).select(*keep, *_FUNCTION_COLUMNS)
 
 
+_SITE_COLUMNS = ["one_line", "docstring_raw", "header_end", "doc_end", "doc_rest", "body_indent"]
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """All that one pass over the source gives: every file with its status, every
+    function with its record and the place of its docstring.  Small beside the
+    source; write it once where several results need it."""
+    keep = [c for c in files.columns if c != "source"]
+    return records(headers(files)).select(
+        *keep, "error_line", "error", "nth", "is_class", *_FUNCTION_COLUMNS, *_SITE_COLUMNS
+    )
+
+
+def sites_of(scan_rows: DataFrame) -> DataFrame:
+    """Function rows of ``scanned``."""
+    return scan_rows.where(F.col("line_number").isNotNull() & ~F.col("is_class")).drop(
+        "error_line", "error", "nth", "is_class"
+    )
+
+
+def status_of(scan_rows: DataFrame) -> DataFrame:
+    """File rows of ``scanned``: ``path, error_line, error``."""
+    return scan_rows.where(F.col("nth") == 0).select("path", "error_line", "error")
+
+
 def function_sites(files: DataFrame) -> DataFrame:
     """Where each function's docstring is or would go; input of ``merge.inject``."""
-    keep = [c for c in files.columns if c != "source"]
-    found = headers(files).where(F.col("line_number").isNotNull() & ~F.col("is_class"))
-    return records(found).select(
-        *keep, *_FUNCTION_COLUMNS,
-        "one_line", "docstring_raw", "header_end", "doc_end", "doc_rest", "body_indent",
-    )
+    return sites_of(scanned(files))
 
 
 def classes(files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from annospark.sources.shared import shared_folder
 
 @dataclass(frozen=True)
 class Run:
-    """Tables a run gives back.  Nothing is written but the generations."""
+    """Tables a run gives back.  Only the scan and the generations are written."""
 
     corpus: DataFrame
     outcomes: DataFrame
@@ -51,9 +51,13 @@ def annotate(
     the corpus as it is.
     """
     spark = files.sparkSession
+    # One pass over the source; prompts, edits, errors and counters all read its result.
+    scan_path = shared_folder(spark, "scan")
+    scan.scanned(files).write.parquet(scan_path)
+    scan_rows = spark.read.parquet(scan_path)
+    sites, status = scan.sites_of(scan_rows), scan.status_of(scan_rows)
     path = generations_path or shared_folder(spark, "generations")
     overwriting = overwrite or dry_run
-    sites = scan.function_sites(files)
     asked = coverage.only_missing(sites) if only_missing else sites
     asked = prompts.prompts(asked, style).select("path", "line_number", "prompt", "prompt_key")
 
@@ -79,9 +83,8 @@ def annotate(
     valid = tested.where(ok & F.col("check.valid")).withColumn("docstring", clean(raw))
 
     edit_rows = merge.edits(merge.targets(sites, valid), overwriting)
-    _, dead = coverage.split_parse_errors(files)
     errors = runs.all_errors(
-        dead,
+        coverage.parse_errors(status),
         runs.record_errors(failed, "LLM error"),
         runs.record_errors(invalid, "Validation failed"),
         runs.record_errors(edit_rows, "Patch error"),
@@ -91,13 +94,8 @@ def annotate(
             "path", "line_number", F.lit("error").alias("outcome"), "error"
         )
     )
-    changed = files.join(merge.edits_by_file(edit_rows), "path", "left").select(
-        "path",
-        F.when(F.col("edits").isNull(), F.col("source"))
-        .otherwise(merge.patched(F.col("source"), F.col("edits")))
-        .alias("source"),
-    )
-    counted = runs.stats(outcomes, scan.parse_status(files))
+    changed = merge.apply_all(files, edit_rows)
+    counted = runs.stats(outcomes, status)
     if dry_run:
         none = F.lit(0).cast("long")
         counted = counted.withColumn("added", none).withColumn("updated", none)

@@ -1,0 +1,104 @@
+"""Run registered queries against their SQL in DuckDB.
+
+Usage: python tests/compare.py SF_DIR [name ...]
+"""
+
+from __future__ import annotations
+
+import glob
+import math
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb  # noqa: E402
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else float(f"{value:.9g}")
+    return value
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    plain = [tuple(_plain(r[i]) for i in order) for r in rows]
+    return [columns[i] for i in order], sorted(plain, key=repr)
+
+
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "float": "FLOAT", "timestamp": "TIMESTAMP",
+}
+
+
+def compare(spark, con, sf_dir: str, fn, sql: str | None) -> str | None:
+    """None when all is equal, else what differs."""
+    df = fn(spark, sf_dir)
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    if sql is None:
+        return None if got[1] else "no rows"
+    cursor = con.execute(sql)
+    names = [c[0] for c in cursor.description]
+    types = {c[0]: str(c[1]).upper() for c in cursor.description}
+    want = rows_of(names, cursor.fetchall())
+    if got[0] != want[0]:
+        return f"columns {got[0]} != {want[0]}"
+    odd = {
+        f.name: (f.dataType.simpleString(), types[f.name])
+        for f in df.schema
+        if SAME_TYPE.get(f.dataType.simpleString()) not in (types[f.name], None)
+        and types[f.name] not in ("NUMBER", "STRING")
+    }
+    if len(got[1]) != len(want[1]):
+        return f"{len(got[1])} rows != {len(want[1])}"
+    for a, b in zip(got[1], want[1]):
+        if a != b:
+            return f"first difference:\n  spark {a!r}\n  sql   {b!r}"[:1500]
+    return f"types {odd}" if odd else None
+
+
+def main() -> int:
+    from pyspark.sql import SparkSession
+
+    import __spark_entry__ as entry
+
+    sf_dir, names = sys.argv[1], sys.argv[2:]
+    spark = (
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    bad = 0
+    for name, fn in entry.queries().items():
+        if names and name not in names:
+            continue
+        start = time.time()
+        try:
+            problem = compare(spark, con, sf_dir, fn, entry.oracle_sql().get(name))
+        except Exception as error:
+            problem = f"{type(error).__name__}: {error}"[:1500]
+        bad += problem is not None
+        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s", problem or "", flush=True)
+    print("failed:", bad)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(main())
