@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from annospark.functions.binding import let
+
 ROUNDS = 10
 
 # Edge blanks (Unicode aware) and the five artefact patterns, applied
@@ -39,11 +41,11 @@ def _wrapped(col: Column, quote: str) -> Column:
 
 def unquote(col: Column) -> Column:
     """Remove one pair of matching outer triple quotes, then edge blanks."""
-    bare = strip(col)
-    return (
-        F.when(_wrapped(bare, '"""'), strip(_between(bare, '"""')))
+    return let(
+        strip(col),
+        lambda bare: F.when(_wrapped(bare, '"""'), strip(_between(bare, '"""')))
         .when(_wrapped(bare, "'''"), strip(_between(bare, "'''")))
-        .otherwise(bare)
+        .otherwise(bare),
     )
 
 
@@ -60,13 +62,15 @@ def clean(col: Column, rounds: int = ROUNDS) -> Column:
     Fences are removed until nothing changes, at most ``rounds`` times.  A text
     without a backtick skips the rounds.
     """
-    bare = unquote(col)
-    rounds_done = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
-        bare,
-        lambda acc, _: F.when(acc.contains("`"), strip_fences(acc)).otherwise(acc),
-    )
-    return unquote(F.when(bare.contains("`"), rounds_done).otherwise(bare))
+    def unfenced(bare: Column) -> Column:
+        done = F.aggregate(
+            F.sequence(F.lit(1), F.lit(rounds)),
+            bare,
+            lambda acc, _: F.when(acc.contains("`"), strip_fences(acc)).otherwise(acc),
+        )
+        return F.when(bare.contains("`"), done).otherwise(bare)
+
+    return unquote(let(unquote(col), unfenced))
 
 
 def clean_existing(col: Column) -> Column:
@@ -83,10 +87,10 @@ def clean_existing(col: Column) -> Column:
 
 def quote(col: Column) -> Column:
     """Docstring literal: one pair of outer triple quotes dropped, then wrapped."""
-    bare = strip(col)
-    inner = (
-        F.when(_wrapped(bare, '"""'), _between(bare, '"""'))
+    inner = let(
+        strip(col),
+        lambda bare: F.when(_wrapped(bare, '"""'), _between(bare, '"""'))
         .when(_wrapped(bare, "'''"), _between(bare, "'''"))
-        .otherwise(bare)
+        .otherwise(bare),
     )
     return F.concat(F.lit('"""'), inner, F.lit('"""'))

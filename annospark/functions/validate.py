@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from annospark.functions.binding import let
 from annospark.functions.text import strip
 
 # The styles and the section names each of them knows.
@@ -40,19 +41,18 @@ def dedented(col: Column) -> Column:
     """Text with edge blanks removed and the indent shared by lines after the first
     taken off, as documentation tools read it."""
     bare = strip(F.regexp_replace(col, "\r\n?", "\n"))
-    lines = F.split(bare, "\n")
-    leads = F.transform(
-        F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda l: F.trim(l) != ""),
-        lambda l: F.length(F.regexp_extract(l, r"^[ \t]*", 0)),
-    )
-    margin = F.coalesce(F.array_min(leads), F.lit(0))
-    return F.array_join(
-        F.transform(
-            lines,
-            lambda l, i: F.when(i == 0, l).otherwise(F.substring(l, margin + 1, F.length(l))),
-        ),
-        "\n",
-    )
+    # Lines after the first that are not blank, by their leading blanks.
+    leads = F.regexp_extract_all(bare, F.lit(r"\n([ \t]*+)(?=[^\s])"), F.lit(1))
+    margin = F.coalesce(F.array_min(F.transform(leads, lambda b: F.length(b))), F.lit(0))
+
+    def shifted(b: Column) -> Column:
+        lines = F.transform(
+            F.split(b["bare"], "\n"),
+            lambda l, i: F.when(i == 0, l).otherwise(F.substring(l, b["margin"] + 1, F.length(l))),
+        )
+        return F.when(b["margin"] == 0, b["bare"]).otherwise(F.array_join(lines, "\n"))
+
+    return let(F.struct(bare.alias("bare"), margin.alias("margin")), shifted)
 
 
 def short_description(col: Column, style: str) -> Column:
@@ -65,10 +65,12 @@ def _google_fault(col: Column) -> Column:
     blocks = F.regexp_extract_all(dedented(col), F.lit(_GOOGLE_BLOCK), F.lit(1))
 
     def entries(block: Column) -> Column:
-        margin = F.length(F.regexp_extract(block, r"\A(?:[ \t]*\n)*([ \t]+)", 1))
         lines = F.filter(F.split(block, "\n"), lambda l: F.trim(l) != "")
-        return F.filter(
-            lines, lambda l: F.length(F.regexp_extract(l, r"^[ \t]*", 0)) <= margin
+        return let(
+            F.length(F.regexp_extract(block, r"\A(?:[ \t]*\n)*([ \t]+)", 1)),
+            lambda margin: F.filter(
+                lines, lambda l: F.length(F.regexp_extract(l, r"^[ \t]*", 0)) <= margin
+            ),
         )
 
     faults = F.filter(F.flatten(F.transform(blocks, entries)), lambda l: ~l.contains(":"))

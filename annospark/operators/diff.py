@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annospark.functions.binding import let, settled
 from annospark.operators import merge
 
 
@@ -85,9 +86,9 @@ def _ops(lines: Column, edit_list: Column) -> Column:
 def _changed(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
     """Changed files: ``path, lines, ops`` with the running line shift of each op."""
     joined = files.join(merge.edits_by_file(edit_rows), "path")
-    ops = joined.select("path", merge.source_lines(F.col("source")).alias("lines"), "edits").select(
-        "path", "lines", _ops(F.col("lines"), F.col("edits")).alias("ops")
-    )
+    split = joined.select("path", merge.source_lines(F.col("source")).alias("lines"), "edits")
+    found = let(F.col("lines"), lambda lines: _ops(lines, F.col("edits")))
+    ops = settled(split.select("path", "lines", found.alias("ops")), "lines", "ops")
     # A line array that ends in "" stands for a text with a final line end.
     ended = F.element_at("lines", -1) == ""
     body = F.when(ended, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines"))
@@ -128,7 +129,8 @@ def line_diff(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
     return (
         _changed(files, edit_rows)
         .withColumn("starts", starts)
-        .select("path", F.explode(F.concat(F.flatten(F.transform("ops", stretch)), tail)).alias("d"))
+        .select("path", F.concat(F.flatten(F.transform("ops", stretch)), tail).alias("rows"))
+        .select("path", F.explode_outer("rows").alias("d"))
         .select("path", "d.*")
     )
 
@@ -165,7 +167,7 @@ def unified(
         F.aggregate(numbered, start_hunk, lambda acc, n: group(acc, n["o"], n["i"]), lambda a: a["hunks"]),
     )
     hunks = changed.select(
-        "path", "lines", "ops", F.posexplode("hunks").alias("hunk", "members")
+        "path", "lines", "ops", F.posexplode_outer("hunks").alias("hunk", "members")
     ).withColumn("mine", F.transform("members", lambda i: F.get("ops", i)))
 
     first, last = F.get("mine", F.lit(0)), F.element_at("mine", -1)
@@ -191,17 +193,18 @@ def unified(
     )
     mark = lambda sign, lines: F.transform(lines, lambda t: F.concat(F.lit(sign), t, F.lit("\n")))
     starts = F.concat(F.array(start), F.transform("mine", lambda o: o["after"] + F.size(o["old"])))
+    hunks = hunks.withColumn("starts", starts)
     pieces = F.flatten(
         F.transform(
             "mine",
             lambda o, i: F.concat(
-                mark(" ", F.slice("lines", F.get(starts, i) + 1, o["after"] - F.get(starts, i))),
+                mark(" ", F.slice("lines", F.get("starts", i) + 1, o["after"] - F.get("starts", i))),
                 mark("-", o["old"]),
                 mark("+", o["new"]),
             ),
         )
     )
-    done = F.element_at(starts, -1)
+    done = F.element_at("starts", -1)
     body = F.concat(pieces, mark(" ", F.slice("lines", done + 1, end - done)))
     texts = hunks.select("path", "hunk", F.concat(head, F.array_join(body, "")).alias("text"))
     title = F.concat(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annospark.functions.binding import let
 from annospark.functions.lexical import unix_newlines
 from annospark.functions.text import quote
 from annospark.operators import scan
@@ -120,18 +121,24 @@ def source_lines(source: Column) -> Column:
 def patched(source: Column, edit_list: Column) -> Column:
     """Source with an ordered list of edits: the stretches between them are cut out
     of the line array and joined again, every other line untouched."""
-    lines = source_lines(source)
     kept_from = F.concat(F.array(F.lit(0)), F.transform(edit_list, lambda e: e["upto"]))
-    stretches = F.transform(
-        edit_list,
-        lambda e, i: F.concat(
-            F.slice(lines, F.get(kept_from, i) + 1, e["after"] - F.get(kept_from, i)),
-            F.array(e["text"]),
-        ),
+
+    def rebuilt(b: Column) -> Column:
+        lines, kept = b["lines"], b["kept_from"]
+        stretches = F.transform(
+            edit_list,
+            lambda e, i: F.concat(
+                F.slice(lines, F.get(kept, i) + 1, e["after"] - F.get(kept, i)),
+                F.array(e["text"]),
+            ),
+        )
+        done = F.element_at(kept, -1)
+        tail = F.slice(lines, done + 1, F.greatest(F.size(lines) - done, F.lit(0)))
+        return F.array_join(F.concat(F.flatten(stretches), tail), "\n")
+
+    return let(
+        F.struct(source_lines(source).alias("lines"), kept_from.alias("kept_from")), rebuilt
     )
-    done = F.get(kept_from, F.size(edit_list))
-    tail = F.slice(lines, done + 1, F.greatest(F.size(lines) - done, F.lit(0)))
-    return F.array_join(F.concat(F.flatten(stretches), tail), "\n")
 
 
 def apply_edits(files: DataFrame, edit_rows: DataFrame) -> DataFrame:

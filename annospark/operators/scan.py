@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annospark.functions import lexical as lx
+from annospark.functions.binding import let, settled
 from annospark.functions.cached import per_context
 from annospark.functions.text import clean_existing, head_lines, strip
 
@@ -178,18 +179,6 @@ def _with_status(stmts: DataFrame) -> DataFrame:
     return stmts.withColumn("_bad", first_bad).withColumn("problem", problem)
 
 
-def _settled(df: DataFrame, *columns: str) -> DataFrame:
-    """The same rows with ``columns`` behind a one-row explode.
-
-    Catalyst copies a computed column into every filter it pushes below it; copied
-    into a lambda, an array would be rebuilt per element.  It pushes no filter on
-    generated columns, so each file is scanned once.
-    """
-    rest = [c for c in df.columns if c not in columns]
-    packed = F.explode_outer(F.array(F.struct(*columns)))
-    return df.select(*rest, packed.alias("_settled")).select(*rest, "_settled.*")
-
-
 def parse_status(files: DataFrame) -> DataFrame:
     """One row per file: the caller's columns, ``error_line`` and ``error``; a null
     error means readable.
@@ -199,7 +188,7 @@ def parse_status(files: DataFrame) -> DataFrame:
     """
     keep = [c for c in files.columns if c != "source"]
     found = _with_status(statements(files)).select(*keep, "problem")
-    return _settled(found, "problem").select(
+    return settled(found, "problem").select(
         *keep, F.col("problem.line").alias("error_line"), F.col("problem.error").alias("error")
     )
 
@@ -229,10 +218,13 @@ def _scopes_column() -> Column:
         F.transform(headers, lambda h, i: F.when((i == 0) | (h["low"] == 0), i)),
         lambda i: i.isNotNull(),
     )
-    blocks = F.transform(
+    blocks = let(
         heads,
-        lambda start, b: F.slice(
-            headers, start + 1, F.coalesce(F.get(heads, b + 1), F.size(headers)) - start
+        lambda begins: F.transform(
+            begins,
+            lambda start, b: F.slice(
+                headers, start + 1, F.coalesce(F.get(begins, b + 1), F.size(headers)) - start
+            ),
         ),
     )
     return F.flatten(F.transform(blocks, lambda b: F.aggregate(b, empty, step, lambda a: a["out"])))
@@ -247,10 +239,13 @@ def _header_columns() -> tuple[Column, Column]:
 
     def header(i: Column, n: Column) -> Column:
         this, after = F.get(stmts, i), F.get(stmts, i + 1)
-        since = F.coalesce(F.get(places, n - 1), F.lit(-1)) + 1
         documented = (after["indent"] > this["indent"]) & _is_doc(after["text"])
         first = F.when(documented, i + 1).otherwise(i)
-        place = F.get(stmts, first)["at"]
+        return let(first, lambda f: resolved(i, n, f))
+
+    def resolved(i: Column, n: Column, first: Column) -> Column:
+        this, place = F.get(stmts, i), F.get(stmts, first)["at"]
+        since = F.coalesce(F.get(places, n - 1), F.lit(-1)) + 1
         return F.struct(
             this["line"].alias("line_number"),
             this["indent"].alias("indent"),
@@ -260,7 +255,7 @@ def _header_columns() -> tuple[Column, Column]:
                 F.transform(F.slice(stmts, since + 1, i - since + 1), lambda s: s["indent"])
             ).alias("low"),
             this["text"].alias("text"),
-            after.alias("after"),
+            F.get(stmts, i + 1).alias("after"),
             place.alias("first"),
             F.transform(
                 F.slice(stmts, first + 2, PREVIEW_LINES),
@@ -291,7 +286,7 @@ def headers(files: DataFrame) -> DataFrame:
     )
     status = [F.col("problem.line").alias("error_line"), F.col("problem.error").alias("error")]
     return (
-        _settled(per_file, "problem", "_zip")
+        settled(per_file, "problem", "_zip")
         .select(*keep, *status, F.posexplode_outer("_zip").alias("nth", "h"))
         .select(
             *keep, "error_line", "error", F.coalesce("nth", F.lit(0)).alias("nth"),
@@ -324,10 +319,13 @@ def parameters(inner: Column) -> Column:
     lead = rf"^(?:\s|{lx.CONTINUATION})++"
     parts = F.transform(parts, lambda p: strip(F.regexp_replace(p, lead, "")))
     parts = F.filter(parts, lambda p: ~p.isin("", "*", "/"))
-    ordered = F.concat(
-        F.filter(parts, lambda p: ~p.startswith("*")),
-        F.filter(parts, lambda p: p.startswith("*") & ~p.startswith("**")),
-        F.filter(parts, lambda p: p.startswith("**")),
+    ordered = let(
+        parts,
+        lambda given: F.concat(
+            F.filter(given, lambda p: ~p.startswith("*")),
+            F.filter(given, lambda p: p.startswith("*") & ~p.startswith("**")),
+            F.filter(given, lambda p: p.startswith("**")),
+        ),
     )
 
     def one(p: Column) -> Column:
