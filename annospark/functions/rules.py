@@ -8,11 +8,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_PIECES = (
-    r"\\.|\[[!^]?\]?[^\]]*\]|/\*\*/|^\*\*/|/\*\*$|^\*\*$|"
-    r"(?<![^/])\*(?![^/])|\*+|\?|[^\\\[*?/]+|."
+# Stand-ins (Unicode noncharacters) for what a later step must not touch.
+_STAR, _MARK, _BRACKET, _OPEN, _SHUT, _SLASHED, _NOT, _DEEP, _TAIL, _ANY = (
+    chr(0xFDD0 + i) for i in range(10)
 )
-_META = r"([\\^$.|?*+()\[\]{}])"
+# Steps of the translation in order: (regex, replacement).
+_STEPS = [
+    # escaped characters stand for themselves
+    (r"\\\\", _SLASHED),
+    (r"\\\*", _STAR),
+    (r"\\\?", _MARK),
+    (r"\\\[", _BRACKET),
+    (r"\\(.)", "$1"),
+    # character classes, with what they hold kept literal
+    (r"\[[!^](\]?[^\]]*)\]", f"{_OPEN}{_NOT}$1{_SHUT}"),
+    (r"\[(\]?[^\]]*)\]", f"{_OPEN}$1{_SHUT}"),
+    (rf"\*(?=[^{_OPEN}]*{_SHUT})", _STAR),
+    (rf"\?(?=[^{_OPEN}]*{_SHUT})", _MARK),
+    (r"([.+^$(){}|\[\]])", r"\\$1"),
+    # double stars between slashes, at the start and at the end
+    (r"/\*\*(?=/)", f"{_DEEP}"),
+    (r"^\*\*/", f"{_ANY}"),
+    (r"/\*\*$", f"{_TAIL}"),
+    (r"^\*\*$", ".+"),
+    # a segment that is one star is not empty; other stars may match nothing
+    (rf"(?<![^/{_ANY}])\*(?![^/])", "[^/]+"),
+    (r"\*+", "[^/]*"),
+    (r"\?", "[^/]"),
+    (_DEEP, "(?:/.+)?"),
+    (_ANY, "(?:.+/)?"),
+    (_TAIL, "/.*"),
+    (_OPEN, "["),
+    (_SHUT, "]"),
+    (_NOT, "^"),
+    (_BRACKET, r"\\["),
+    (_STAR, r"\\*"),
+    (_MARK, r"\\?"),
+    (_SLASHED, r"\\\\"),
+]
 
 
 def is_negated(pattern: Column) -> Column:
@@ -33,33 +66,13 @@ def rule_regex(pattern: Column) -> Column:
     anchored = body.contains("/")
     body = F.regexp_replace(body, r"^/", "")
 
-    def piece(p: Column) -> Column:
-        quoted = F.regexp_replace(p, _META, r"\\$1")
-        group = F.concat(
-            F.regexp_replace(F.substring(p, F.lit(1), F.length(p) - 1), r"^\[!", "[^"), F.lit("]")
-        )
-        return (
-            F.when(p == "/**/", "(?:/.+)?/")
-            .when(p == "**/", "(?:.+/)?")
-            .when(p == "/**", "/.*")
-            .when(p == "**", ".+")
-            .when(p.startswith("**"), "[^/]*")
-            .when(p == "*", "[^/]*")
-            .when(p == "?", "[^/]")
-            .when(p.startswith("[") & p.endswith("]"), group)
-            .when(p.startswith("\\") & (F.length(p) > 1),
-                  F.regexp_replace(F.substring(p, 2, 1), _META, r"\\$1"))
-            .otherwise(quoted)
-        )
-
-    pieces = F.regexp_extract_all(body, F.lit(_PIECES), F.lit(0))
-    middle = F.array_join(F.transform(pieces, piece), "")
-    # A segment that is only ``*`` needs at least one character.
-    middle = F.regexp_replace(middle, r"(?<![^/])\[\^/\]\*(?![^/])", "[^/]+")
+    deep = body.endswith("/**")
+    for regex, replacement in _STEPS:
+        body = F.regexp_replace(body, regex, replacement)
     return F.concat(
         F.when(anchored, "^").otherwise("^(?:.+/)?"),
-        middle,
-        F.when(folder_only, "/.*$").when(body.endswith("/**"), "$").otherwise("(?:/.*)?$"),
+        body,
+        F.when(folder_only, "/.*$").when(deep, "$").otherwise("(?:/.*)?$"),
     )
 
 

@@ -1,0 +1,84 @@
+import pytest
+from pyspark.sql import functions as F
+
+from annospark.operators import rules
+from annospark.sources.corpus import by_extension, suffix
+
+
+def kept(spark, paths, **lists):
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    return sorted(r.path for r in rules.apply_rules(df, **lists).collect())
+
+
+# pattern, excluded paths, kept paths
+CASES = [
+    ("*.pyc", ["a.pyc", "x/b.pyc"], ["a.py", "pyc"]),
+    ("__pycache__", ["__pycache__/a.py", "x/__pycache__/b.py"], ["x/pycache/a.py", "a__pycache__.py"]),
+    ("test_*.py", ["test_a.py", "x/test_b.py"], ["a_test.py", "x/test/a.py"]),
+    ("build/", ["build/a.py", "x/build/y/b.py"], ["build", "build.py", "x/rebuild/a.py"]),
+    ("/build", ["build/a.py", "build"], ["x/build/a.py"]),
+    (".env", [".env", "x/.env/a.py"], ["x.env"]),
+    ("**/test_*.py", ["test_a.py", "x/y/test_b.py"], ["x/atest_b.py"]),
+    ("**/tests/**", ["tests/a.py", "x/tests/y/b.py"], ["tests", "x/testsuite/a.py"]),
+    ("src/**", ["src/a.py", "src/x/b.py"], ["src", "x/src/a.py"]),
+    ("a/**/b.py", ["a/b.py", "a/x/b.py", "a/x/y/b.py"], ["a/xb.py", "z/a/b.py"]),
+    ("src/*.py", ["src/a.py"], ["src/x/a.py", "x/src/a.py"]),
+    ("src/*", ["src/a.py", "src/x/b.py"], ["src"]),
+    ("mod_?.py", ["mod_1.py", "x/mod_a.py"], ["mod_12.py", "mod_.py"]),
+    ("mod_[0-9].py", ["mod_1.py"], ["mod_a.py"]),
+    ("mod_[!0-9].py", ["mod_a.py"], ["mod_1.py"]),
+    ("a.b+(c)", ["a.b+(c)", "x/a.b+(c)/d"], ["aXb+(c)"]),
+    (r"\#note", ["#note"], ["note"]),
+    (r"\!keep", ["!keep"], ["keep"]),
+    ("trailing   ", ["trailing"], ["trail"]),
+]
+
+
+@pytest.mark.parametrize("pattern, gone, stay", CASES)
+def test_pattern(spark, pattern, gone, stay):
+    assert kept(spark, gone + stay, exclude=[pattern]) == sorted(stay)
+
+
+def test_last_match_wins_and_folders_take_all_along(spark):
+    paths = ["a.py", "keep.py", "x/keep.py", "build/keep.py", "x.txt"]
+    assert kept(spark, paths, exclude=["*.py", "!keep.py"]) == ["build/keep.py", "keep.py", "x.txt", "x/keep.py"]
+    assert kept(spark, paths, exclude=["*.py", "!keep.py", "build/"]) == ["keep.py", "x.txt", "x/keep.py"]
+    assert kept(spark, ["build/keep.py"], exclude=["build/", "!build/keep.py"]) == []
+    assert kept(spark, ["src/a.py", "lib/a.py"], exclude=["/*", "!/src"]) == ["src/a.py"]
+
+
+def test_either_list_excludes_and_comments_do_not(spark):
+    paths = ["a.py", "b.py", "c.py"]
+    assert kept(spark, paths, exclude=["a.py"], ignore=["# c.py", "", "b.py"]) == ["c.py"]
+    assert kept(spark, paths, exclude=["*"], enabled=False) == paths
+
+
+def test_rule_table_per_scope(spark):
+    lines = spark.createDataFrame(
+        [("p", 0, "# x"), ("p", 1, "*.py"), ("p", 2, "!keep.py"), ("p", 3, ""), ("q", 0, "build/")],
+        "project string, seq int, line string",
+    )
+    parsed = rules.parse_rules(lines)
+    assert sorted(r.pattern for r in parsed.collect()) == ["!keep.py", "*.py", "build/"]
+    paths = [("p", "a.py"), ("p", "keep.py"), ("q", "a.py"), ("q", "build/a.py"), ("r", "a.py")]
+    df = spark.createDataFrame(paths, "project string, path string")
+    got = rules.apply_rule_table(df, parsed, ["project"]).collect()
+    assert sorted((r.project, r.path) for r in got) == [("p", "keep.py"), ("q", "a.py"), ("r", "a.py")]
+
+
+def test_literal_rules_fold_to_one_constant_regex(spark):
+    df = spark.createDataFrame([("a.py",)], "path string")
+    plan = rules.apply_rules(df, exclude=["tests/", "*.pyc", "build/"])
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" not in text and "regexp_extract_all" not in text
+
+
+def test_hidden_folders_and_extensions(spark):
+    paths = ["a.py", ".dot.py", ".git/a.py", "x/.hid/y/b.py", "x/y.z/c.py", "d.txt", "x/.py", "e.tar.py"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert sorted(r.path for r in rules.drop_hidden(df).collect()) == sorted(
+        ["a.py", ".dot.py", "x/y.z/c.py", "d.txt", "x/.py", "e.tar.py"]
+    )
+    assert "x/.py" not in [r.path for r in by_extension(df, [".py"]).collect()]
+    assert df.where(suffix(F.col("path")) == "").count() == 1
+    assert [r.path for r in by_extension(df, [".txt", ".js"]).collect()] == ["d.txt"]

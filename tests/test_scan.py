@@ -1,0 +1,273 @@
+import ast
+import os
+import random
+import textwrap
+
+import pytest
+
+from annospark.operators import scan
+
+
+def one(df):
+    rows = df.collect()
+    assert len(rows) == 1, rows
+    return rows[0]
+
+
+def params(row):
+    return [(p.name, p.type_hint) for p in row.params]
+
+
+def test_simple_function(files):
+    row = one(scan.functions(files('def f(a: int, b: str = "x, y") -> bool:\n    """Doc."""\n    return a\n')))
+    assert (row.name, row.line_number, row.parent_class) == ("f", 1, None)
+    assert params(row) == [("a", "int"), ("b", "str")]
+    assert (row.return_type, row.has_docstring, row.existing_docstring) == ("bool", True, "Doc.")
+    assert row.body_preview == "return a"
+
+
+def test_parameter_kinds_in_order(files):
+    source = "def f(p, /, a, *rest: int, k: Dict[str, int] = {1: 2}, m=(1, [2, 3]), **kw: Any): ...\n"
+    row = one(scan.functions(files(source)))
+    assert params(row) == [
+        ("p", None), ("a", None), ("k", "Dict[str, int]"), ("m", None), ("*rest", "int"), ("**kw", "Any"),
+    ]
+    row = one(scan.functions(files("def f(a, *, b=1):\n    pass\n")))
+    assert params(row) == [("a", None), ("b", None)]
+
+
+def test_multi_line_header_with_comments(files):
+    source = """
+        def f(
+            a: Callable[[int], str],  # first, one
+            b: "Forward, ref" = ":",
+        ) -> Optional[
+            int
+        ]:
+            x = 1
+    """
+    row = one(scan.functions(files(textwrap.dedent(source))))
+    assert params(row) == [("a", "Callable[[int], str]"), ("b", '"Forward, ref"')]
+    assert row.return_type.replace("\n", "").replace(" ", "") == "Optional[int]"
+    assert (row.line_number, row.body_preview) == (2, "x = 1")
+
+
+@pytest.mark.parametrize(
+    "body, has, text",
+    [
+        ('"""Doc."""', True, "Doc."),
+        ("'''Doc.'''", True, "Doc."),
+        ('"Doc."', True, "Doc."),
+        ("'Doc.'", True, "Doc."),
+        ('r"""Doc."""', True, "Doc."),
+        ('""""""', True, ""),
+        ('"""Two\n    lines."""', True, "Two\n    lines."),
+        ('"a" "b"', True, 'a" "b'),
+        ('"""Doc."""; x = 1', True, "Doc."),
+        ('f"""no"""', False, None),
+        ('"""no""".strip()', False, None),
+        ('x = """no"""', False, None),
+        ('("no",)', False, None),
+        ("pass", False, None),
+        ("# comment\n    'after comment'", True, "after comment"),
+        ('"""def fake():\n    pass\n"""', True, "def fake():\n    pass"),
+    ],
+)
+def test_docstring_forms(files, body, has, text):
+    row = one(scan.functions(files(f"def f():\n    {body}\n    return 1\n")))
+    assert (row.has_docstring, row.existing_docstring) == (has, text)
+
+
+def test_one_line_body(files):
+    row = one(scan.functions(files("def f(): 'not a docstring'\n")))
+    assert (row.has_docstring, row.body_preview) == (False, "")
+
+
+def test_async_decorated_generator_and_property(files):
+    source = textwrap.dedent("""
+        @decorator(x=1)
+        async def a(): yield 1
+
+        class C:
+            @property
+            def p(self):
+                '''P.'''
+                return 1
+            @staticmethod
+            def s(): pass
+            @classmethod
+            async def c(cls):
+                pass
+    """)
+    rows = {r.name: r for r in scan.functions(files(source)).collect()}
+    assert {n: (r.line_number, r.parent_class, r.has_docstring) for n, r in rows.items()} == {
+        "a": (3, None, False), "p": (7, "C", True), "s": (11, "C", False), "c": (13, "C", False),
+    }
+
+
+def test_nested_scopes(files):
+    source = textwrap.dedent("""
+        class A:
+            def one(self):
+                def inner():
+                    pass
+            class B:
+                def two(self): pass
+            def three(self): pass
+        if True:
+            def four(): pass
+        class D: pass
+        def five():
+            class E:
+                def six(self): pass
+    """)
+    got = {r.name: r.parent_class for r in scan.functions(files(source)).collect()}
+    assert got == {"one": "A", "inner": "A", "two": "B", "three": "A", "four": None, "five": None, "six": "E"}
+    classes = {(r.name, r.parent_class) for r in scan.classes(files(source)).collect()}
+    assert classes == {("A", None), ("B", "A"), ("D", None), ("E", None)}
+
+
+def test_class_methods_nested(files):
+    source = "class A:\n    def x(self): pass\n    def y(self): pass\nclass B:\n    pass\nclass A:\n    def z(self): pass\n"
+    df = files(source)
+    rows = scan.class_methods(scan.functions(df), scan.classes(df)).collect()
+    assert {(r.line_number, r.name): r.methods for r in rows} == {
+        (1, "A"): ["x", "y"], (4, "B"): [], (6, "A"): ["z"],
+    }
+
+
+def test_preview(files):
+    source = 'def f():\n    """Doc."""\n\n    a = 1\n    # note\n    if a:\n        b = """x\n  y"""\n    c = (1,\n         2)\n\n# after\nx = 1\n'
+    row = one(scan.functions(files(source)))
+    assert row.body_preview == '\na = 1\n# note\nif a:\n    b = """x'
+    row = one(scan.functions(files("def f():\n\ta = 1\n\tb = 2\n\n# after\n")))
+    assert row.body_preview.replace("\t", "") == "a = 1\nb = 2"
+
+
+@pytest.mark.parametrize(
+    "source, error",
+    [
+        ("def invalid syntax here\n", "invalid header"),
+        ("def broken(\npass\n", "unbalanced bracket"),
+        ("x = 1)\n", "unbalanced bracket"),
+        ('x = """open\n', "unterminated string"),
+        ("x = 'open\ny = 1\n", "unterminated string"),
+        ("def f():\nx = 1\n", "expected an indented block"),
+        ("class C:\n", "expected an indented block"),
+        ("x = 1\n    y = 2\n", "unexpected indent"),
+        ("x = '\ufdd0'\n", "reserved character"),
+        ("", None),
+        ("# only a comment\n", None),
+        ("if a:  # note: this\n    b = [\n  1]  # x\n", None),
+        ("if (a and  # c\n    b):\n    pass\n", None),
+        ("x = 1; y = 2\n\n\n", None),
+        ("a = b \\\n    + 1\n", None),
+        ("a = 1\r\nb = 2\r\n", None),
+    ],
+)
+def test_parse_status(files, source, error):
+    assert one(scan.parse_status(files(source))).error == error
+
+
+def test_unreadable_file_has_no_functions_and_one_row(spark, files):
+    df = files("def f(): pass\ndef broken(\n", "x = 1\n", None)
+    assert scan.functions(df).count() == 0
+    rows = scan.headers(df).select("path", "nth", "error").collect()
+    assert sorted((r.path, r.nth, r.error) for r in rows) == [
+        ("f0.py", 0, "unbalanced bracket"), ("f1.py", 0, None), ("f2.py", 0, "unreadable source"),
+    ]
+
+
+def test_filters_do_not_reach_into_the_scan(files):
+    df = scan.functions(files("def f(): pass\n")).where("has_docstring = false")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("regexp_extract_all(")
+    assert scans == scan.functions(files("x"))._jdf.queryExecution().optimizedPlan().toString().count(
+        "regexp_extract_all("
+    )
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_brackets_and_long_lines(files):
+    nested = "x = " + "(" * 150 + "1" + ")" * 150
+    long = "y = '" + "a\\\\" * 60000 + "'  # " + "z" * 100000
+    assert one(scan.functions(files(f"{nested}\n{long}\ndef f(): pass\n"))).line_number == 3
+
+
+def expected(source):
+    """(line, name, class, has docstring, parameter names) by the standard parser."""
+    found = {}
+
+    def walk(node, owner):
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.ClassDef):
+                walk(child, child.name)
+            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                a = child.args
+                names = [p.arg for p in a.posonlyargs + a.args + a.kwonlyargs]
+                names += ["*" + a.vararg.arg] if a.vararg else []
+                names += ["**" + a.kwarg.arg] if a.kwarg else []
+                has = ast.get_docstring(child) is not None and child.body[0].lineno > child.lineno
+                found[child.lineno] = (child.name, owner, has, names)
+                walk(child, owner)
+            else:
+                walk(child, owner)
+
+    walk(ast.parse(source), None)
+    return found
+
+
+def test_agrees_with_the_standard_parser_on_library_modules(spark):
+    folder = os.path.dirname(os.__file__)
+    sources = {}
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name), encoding="utf-8") as handle:
+                sources[name] = handle.read()
+    df = spark.createDataFrame(list(sources.items()), "path string, source string").repartition(16)
+    got = {}
+    for r in scan.functions(df).collect():
+        got.setdefault(r.path, {})[r.line_number] = (
+            r.name, r.parent_class, r.has_docstring, [p.name for p in r.params],
+        )
+    assert scan.parse_status(df).where("error is not null").count() == 0
+    for name, source in sources.items():
+        assert got.get(name, {}) == expected(source), name
+
+
+def random_module(rng, depth=0):
+    """Valid code with nested definitions, odd strings and brackets."""
+    pad = "    " * depth
+    pieces = [
+        "x = '''a\ndef no():\n  \"b\"'''", 'y = "it\'s # not: a comment"', "z = [1,\n(2,\n3)]",
+        "# def ghost(a):", "if x:\n{p}    pass", "s = {{'a': 1, # c)\n 'b': [2]}}", "t = x \\\n  + 1", "",
+        'u = f"{{x}} def"', "v = r'\\'x'", "lambda q: (q, [q])",
+    ]
+    out = []
+    for _ in range(rng.randint(1, 5)):
+        kind = rng.random()
+        if kind < 0.3 and depth < 4:
+            doc = rng.choice(['"""Doc."""', "'d' 'e'", "x = 1", "f'{x}'", '"""m\n\ndef q():\n"""', "# c"])
+            name = f"f{rng.randint(0, 99)}"
+            args = rng.choice(["", "a, b=(1, 2)", "a: 'x, y', /, *, k=[1]", "*a,\n   **k", "self, a: int = {1: ':'}"])
+            out.append(f"{pad}{rng.choice(['', 'async '])}def {name}({args}){rng.choice(['', ' -> int'])}:")
+            out += [f"{pad}    {doc}", f"{pad}    pass", random_module(rng, depth + 1)]
+        elif kind < 0.5 and depth < 4:
+            out += [f"{pad}class C{rng.randint(0, 9)}{rng.choice(['', '(A, b=1)'])}:", f"{pad}    pass",
+                    random_module(rng, depth + 1)]
+        else:
+            out.append(pad + rng.choice(pieces).replace("{p}", pad).replace("{{", "{").replace("}}", "}"))
+    return "\n".join(out) + f"\n{pad}pass"
+
+
+def test_agrees_with_the_standard_parser_on_random_modules(spark):
+    rng = random.Random(7)
+    sources = {f"m{i}": random_module(rng) + "\n" for i in range(300)}
+    df = spark.createDataFrame(list(sources.items()), "path string, source string")
+    got = {}
+    for r in scan.functions(df).collect():
+        got.setdefault(r.path, {})[r.line_number] = (
+            r.name, r.parent_class, r.has_docstring, [p.name for p in r.params],
+        )
+    for name, source in sources.items():
+        assert got.get(name, {}) == expected(source), source
