@@ -8,9 +8,13 @@ from annospark.functions.binding import let
 
 ROUNDS = 10
 
-# Edge blanks (Unicode aware) and the five artefact patterns, applied
-# in this order on every round.
-_EDGE_BLANKS = r"(?U)\A\s++|(?<!\s)\s++\z"
+# The characters that count as blank at the edges of a text, and the
+# five artefact patterns, applied in this order on every round.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _ARTEFACTS = [
     r"(?mdU)^```[a-zA-Z]*\s*\n?",
     r"(?mdU)^```\s*\n?",
@@ -22,7 +26,7 @@ _ARTEFACTS = [
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing whitespace, Unicode blanks included."""
-    return F.regexp_replace(col, _EDGE_BLANKS, "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def head_lines(col: Column, n: int) -> Column:

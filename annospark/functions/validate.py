@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from annospark.functions.binding import let
+from annospark.functions.lexical import unix_newlines
 from annospark.functions.text import strip
 
 # The styles and the section names each of them knows.
@@ -40,10 +41,11 @@ _GOOGLE_BLOCK = (
 def dedented(col: Column) -> Column:
     """Text with edge blanks removed and the indent shared by lines after the first
     taken off, as documentation tools read it."""
-    bare = strip(F.regexp_replace(col, "\r\n?", "\n"))
+    bare = strip(unix_newlines(col))
     # Lines after the first that are not blank, by their leading blanks.
     leads = F.regexp_extract_all(bare, F.lit(r"\n([ \t]*+)(?=[^\s])"), F.lit(1))
     margin = F.coalesce(F.array_min(F.transform(leads, lambda b: F.length(b))), F.lit(0))
+    indented = bare.contains("\n ") | bare.contains("\n\t")
 
     def shifted(b: Column) -> Column:
         lines = F.transform(
@@ -52,7 +54,8 @@ def dedented(col: Column) -> Column:
         )
         return F.when(b["margin"] == 0, b["bare"]).otherwise(F.array_join(lines, "\n"))
 
-    return let(F.struct(bare.alias("bare"), margin.alias("margin")), shifted)
+    measured = F.when(indented, margin).otherwise(F.lit(0))
+    return let(F.struct(bare.alias("bare"), measured.alias("margin")), shifted)
 
 
 def short_description(col: Column, style: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annospark.functions.binding import let, settled
+from annospark.functions.cached import per_context
 from annospark.operators import merge
 
 
@@ -83,12 +84,16 @@ def _ops(lines: Column, edit_list: Column) -> Column:
     return F.filter(trimmed, lambda o: (F.size(o["old"]) > 0) | (F.size(o["new"]) > 0))
 
 
+@per_context
+def _found_ops() -> Column:
+    return let(F.col("lines"), lambda lines: _ops(lines, F.col("edits")))
+
+
 def _changed(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
     """Changed files: ``path, lines, ops`` with the running line shift of each op."""
     joined = files.join(merge.edits_by_file(edit_rows), "path")
     split = joined.select("path", merge.source_lines(F.col("source")).alias("lines"), "edits")
-    found = let(F.col("lines"), lambda lines: _ops(lines, F.col("edits")))
-    ops = settled(split.select("path", "lines", found.alias("ops")), "lines", "ops")
+    ops = settled(split.select("path", "lines", _found_ops().alias("ops")), "lines", "ops")
     # A line array that ends in "" stands for a text with a final line end.
     ended = F.element_at("lines", -1) == ""
     body = F.when(ended, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines"))
@@ -143,76 +148,89 @@ def unified(
     Edits closer than twice the context share a hunk.  ``lineterm`` ends the header
     lines; the empty string runs them into one line.
     """
-    start_hunk = F.struct(
-        F.expr("cast(array() as array<array<int>>)").alias("hunks"),
-        F.lit(0).alias("end"),
-    )
+    return _changed(files, edit_rows).select("path", _unified_text(context, lineterm).alias("diff"))
 
-    def group(acc: Column, o: Column, i: Column) -> Column:
-        near = (F.size(acc["hunks"]) > 0) & (o["after"] - acc["end"] <= 2 * context)
-        last = F.size(acc["hunks"])
-        grown = F.concat(
-            F.slice(acc["hunks"], F.lit(1), F.greatest(last - 1, F.lit(0))),
-            F.array(F.concat(F.get(acc["hunks"], last - 1), F.array(i))),
-        )
-        fresh = F.concat(acc["hunks"], F.array(F.array(i)))
-        return F.struct(
-            F.when(near, grown).otherwise(fresh).alias("hunks"),
-            (o["after"] + F.size(o["old"])).alias("end"),
-        )
-
-    numbered = F.transform("ops", lambda o, i: F.struct(o.alias("o"), i.alias("i")))
-    changed = _changed(files, edit_rows).withColumn(
-        "hunks",
-        F.aggregate(numbered, start_hunk, lambda acc, n: group(acc, n["o"], n["i"]), lambda a: a["hunks"]),
-    )
-    hunks = changed.select(
-        "path", "lines", "ops", F.posexplode_outer("hunks").alias("hunk", "members")
-    ).withColumn("mine", F.transform("members", lambda i: F.get("ops", i)))
 
-    first, last = F.get("mine", F.lit(0)), F.element_at("mine", -1)
-    start = F.greatest(first["after"] - context, F.lit(0))
-    end = F.least(last["after"] + F.size(last["old"]) + context, F.size("lines"))
+@per_context
+def _unified_text(context: int, lineterm: str) -> Column:
+    lines, ops = F.col("lines"), F.col("ops")
 
-    def pluck(name: str, ops: Column) -> Column:
-        return F.aggregate(ops, F.lit(0), lambda acc, o: acc + F.size(o[name]))
+    def end_of(op: Column) -> Column:
+        return op["after"] + F.size(op["old"])
 
-    shift = pluck("new", F.slice("ops", F.lit(1), F.get("members", F.lit(0)))) - pluck(
-        "old", F.slice("ops", F.lit(1), F.get("members", F.lit(0)))
-    )
-    grown = pluck("new", F.col("mine")) - pluck("old", F.col("mine"))
-
-    def span(from_line: Column, length: Column) -> Column:
-        shown = F.when(length == 0, from_line).otherwise(from_line + 1).cast("string")
-        return F.when(length == 1, shown).otherwise(F.concat(shown, F.lit(","), length.cast("string")))
-
-    old_len = end - start
-    head = F.concat(
-        F.lit("@@ -"), span(start, old_len), F.lit(" +"), span(start + shift, old_len + grown),
-        F.lit(" @@"), F.lit(lineterm),
-    )
-    mark = lambda sign, lines: F.transform(lines, lambda t: F.concat(F.lit(sign), t, F.lit("\n")))
-    starts = F.concat(F.array(start), F.transform("mine", lambda o: o["after"] + F.size(o["old"])))
-    hunks = hunks.withColumn("starts", starts)
-    pieces = F.flatten(
+    # Index of the first op of each hunk, and how far earlier ops move each op's lines.
+    begins = F.filter(
         F.transform(
-            "mine",
-            lambda o, i: F.concat(
-                mark(" ", F.slice("lines", F.get("starts", i) + 1, o["after"] - F.get("starts", i))),
-                mark("-", o["old"]),
-                mark("+", o["new"]),
+            ops,
+            lambda o, i: F.when(
+                (i == 0) | (o["after"] - end_of(F.get(ops, i - 1)) > 2 * context), i
             ),
-        )
+        ),
+        lambda i: i.isNotNull(),
     )
-    done = F.element_at("starts", -1)
-    body = F.concat(pieces, mark(" ", F.slice("lines", done + 1, end - done)))
-    texts = hunks.select("path", "hunk", F.concat(head, F.array_join(body, "")).alias("text"))
-    title = F.concat(
-        F.lit("--- a/"), "path", F.lit(lineterm), F.lit("+++ b/"), "path", F.lit(lineterm)
+    shifts = F.aggregate(
+        ops,
+        F.array(F.lit(0)),
+        lambda acc, o: F.concat(
+            acc, F.array(F.element_at(acc, -1) + F.size(o["new"]) - F.size(o["old"]))
+        ),
     )
-    whole = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("hunk", "text"))), lambda h: h["text"]), ""
+
+    def hunk(b: Column, first: Column, beyond: Column) -> Column:
+        mine = F.slice(ops, first + 1, beyond - first)
+        start = F.greatest(F.get(ops, first)["after"] - context, F.lit(0))
+        end = F.least(end_of(F.get(ops, beyond - 1)) + context, F.size(lines))
+        shift = F.get(b["shifts"], first)
+        facts = F.struct(
+            mine.alias("mine"),
+            start.alias("start"),
+            end.alias("end"),
+            shift.alias("shift"),
+            (F.get(b["shifts"], beyond) - shift).alias("grown"),
+            F.concat(F.array(start), F.transform(mine, end_of)).alias("starts"),
+        )
+        return let(facts, hunk_text)
+
+    def span(start: Column, length: Column) -> Column:
+        shown = F.when(length == 0, start).otherwise(start + 1).cast("string")
+        return F.when(length == 1, shown).otherwise(
+            F.concat(shown, F.lit(","), length.cast("string"))
+        )
+
+    def marked(sign: str, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.concat(F.lit(sign), t, F.lit("\n")))
+
+    def kept(start: Column, end: Column) -> Column:
+        return marked(" ", F.slice(lines, start + 1, end - start))
+
+    def hunk_text(h: Column) -> Column:
+        length = h["end"] - h["start"]
+        head = F.concat(
+            F.lit("@@ -"), span(h["start"], length),
+            F.lit(" +"), span(h["start"] + h["shift"], length + h["grown"]),
+            F.lit(" @@"), F.lit(lineterm),
+        )
+        body = F.flatten(
+            F.transform(
+                h["mine"],
+                lambda o, i: F.concat(
+                    kept(F.get(h["starts"], i), o["after"]),
+                    marked("-", o["old"]),
+                    marked("+", o["new"]),
+                ),
+            )
+        )
+        rest = kept(F.element_at(h["starts"], -1), h["end"])
+        return F.concat(head, F.array_join(F.concat(body, rest), ""))
+
+    texts = let(
+        F.struct(begins.alias("begins"), shifts.alias("shifts")),
+        lambda b: F.transform(
+            b["begins"],
+            lambda first, n: hunk(b, first, F.coalesce(F.get(b["begins"], n + 1), F.size(ops))),
+        ),
     )
-    return texts.groupBy("path").agg(whole.alias("_body")).select(
-        "path", F.concat(title, "_body").alias("diff")
+    path, end = F.col("path"), F.lit(lineterm)
+    return F.concat(
+        F.lit("--- a/"), path, end, F.lit("+++ b/"), path, end, F.array_join(texts, "")
     )

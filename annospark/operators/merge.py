@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annospark.functions.binding import let
+from annospark.functions.cached import per_context
 from annospark.functions.lexical import unix_newlines
 from annospark.functions.text import quote
 from annospark.operators import scan
@@ -83,6 +84,11 @@ def edits(targeted: DataFrame, overwrite: bool = False) -> DataFrame:
     is put in.  A function whose body is on the header line cannot take a docstring;
     that is an error on the row.
     """
+    return targeted.select("path", "line_number", "name", "parent_class", *_edit_columns(overwrite))
+
+
+@per_context
+def _edit_columns(overwrite: bool) -> list[Column]:
     change = F.when(F.col("one_line"), F.lit(False)).when(
         F.col("has_docstring"), F.lit(overwrite)
     ).otherwise(True)
@@ -91,8 +97,7 @@ def edits(targeted: DataFrame, overwrite: bool = False) -> DataFrame:
     text = F.concat(
         literal, F.when(rest != "", F.concat(F.lit("\n"), "body_indent", rest)).otherwise("")
     )
-    return targeted.select(
-        "path", "line_number", "name", "parent_class",
+    return [
         F.when(F.col("one_line"), "error")
         .when(change & F.col("has_docstring"), UPDATED)
         .when(change, ADDED)
@@ -102,7 +107,7 @@ def edits(targeted: DataFrame, overwrite: bool = False) -> DataFrame:
         F.when(change, F.col("header_end")).alias("after"),
         F.when(change, F.coalesce("doc_end", "header_end")).alias("upto"),
         F.when(change, text).alias("text"),
-    )
+    ]
 
 
 def edits_by_file(edit_rows: DataFrame) -> DataFrame:
@@ -118,6 +123,11 @@ def source_lines(source: Column) -> Column:
     return F.split(unix_newlines(source), "\n")
 
 
+@per_context
+def _patched_source() -> Column:
+    return patched(F.col("source"), F.col("edits"))
+
+
 def patched(source: Column, edit_list: Column) -> Column:
     """Source with an ordered list of edits: the stretches between them are cut out
     of the line array and joined again, every other line untouched."""
@@ -144,15 +154,14 @@ def patched(source: Column, edit_list: Column) -> Column:
 def apply_edits(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
     """Changed files only: ``path, source`` with all edits of a file made at once."""
     return files.join(edits_by_file(edit_rows), "path").select(
-        "path", patched(F.col("source"), F.col("edits")).alias("source")
+        "path", _patched_source().alias("source")
     )
 
 
 def apply_all(files: DataFrame, edit_rows: DataFrame) -> DataFrame:
     """The whole corpus, changed where it has edits."""
     joined = files.join(edits_by_file(edit_rows), "path", "left")
-    source = F.col("source")
-    done = F.when(F.col("edits").isNull(), source).otherwise(patched(source, F.col("edits")))
+    done = F.when(F.col("edits").isNull(), F.col("source")).otherwise(_patched_source())
     return joined.select("path", done.alias("source"))
 
 

@@ -46,8 +46,10 @@ def tokens(files: DataFrame) -> DataFrame:
         .when(F.col("token") == "\\\n", "continuation")
         .otherwise("code")
     )
-    split = F.posexplode(lx.tokens(lx.unix_newlines(F.col("source")))).alias("pos", "token")
-    return files.select("path", split).select("path", "pos", kind.alias("kind"), "token")
+    # The outer form: for an inner explode Catalyst would tokenise twice, once to filter.
+    split = F.posexplode_outer(lx.tokens(lx.unix_newlines(F.col("source")))).alias("pos", "token")
+    found = files.select("path", split).where(F.col("pos").isNotNull())
+    return found.select("path", "pos", kind.alias("kind"), "token")
 
 
 @per_context
