@@ -55,40 +55,54 @@ def by_extension(df: DataFrame, extensions: Sequence[str], path: str = "path") -
     return df.where(suffix(F.col(path)).isin(*extensions))
 
 
-def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _prefix(root: str) -> str:
+    """What a path below ``root`` has in front of the name its file system knows."""
     from pyarrow import fs
 
-    for batch in batches:
-        for folder in batch["path"]:
-            store, inner = fs.FileSystem.from_uri(folder)
-            prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
-            found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-            yield pd.DataFrame(
-                {
-                    "path": [prefix + f.path for f in found],
-                    "is_dir": [f.type == fs.FileType.Directory for f in found],
-                    "size": [f.size or 0 for f in found],
-                }
-            )
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+    _, inner = fs.FileSystem.from_uri(root)
+    return root[: len(root) - len(inner)] if root.endswith(inner) else ""
+
+
+def _lister(root: str, prefix: str):
+    def list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch["path"]:
+                inside = fs.FileSelector(folder[len(prefix) :], allow_not_found=True)
+                found = store.get_file_info(inside)
+                yield pd.DataFrame(
+                    {
+                        "path": [prefix + f.path for f in found],
+                        "is_dir": [f.type == fs.FileType.Directory for f in found],
+                        "size": [f.size or 0 for f in found],
+                    }
+                )
+
+    return list_dirs
 
-    paths, contents, held = [], [], 0
-    for batch in batches:
-        for path in batch["path"]:
-            store, inner = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as stream:
-                data = stream.read()
-            paths.append(path)
-            contents.append(data)
-            held += len(data)
-            if held >= READ_BATCH_BYTES:
-                yield pd.DataFrame({"path": paths, "content": contents})
-                paths, contents, held = [], [], 0
-    if paths:
-        yield pd.DataFrame({"path": paths, "content": contents})
+
+def _reader(root: str, prefix: str):
+    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(root)
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                with store.open_input_stream(path[len(prefix) :], compression=None) as stream:
+                    data = stream.read()
+                paths.append(path)
+                contents.append(data)
+                held += len(data)
+                if held >= READ_BATCH_BYTES:
+                    yield pd.DataFrame({"path": paths, "content": contents})
+                    paths, contents, held = [], [], 0
+        if paths:
+            yield pd.DataFrame({"path": paths, "content": contents})
+
+    return read_files
 
 
 def list_tree(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
@@ -111,12 +125,12 @@ def list_tree(spark: SparkSession, root: str, extensions: Sequence[str]) -> Data
         one = spark.createDataFrame([(root, False, info.size or 0)], _ENTRY)
         return by_extension(one, extensions).select("path", "size")
 
-    table = shared_folder(spark, "listing")
+    table, prefix = shared_folder(spark, "listing"), _prefix(root)
     frontier = spark.createDataFrame([(root, True, 0)], _ENTRY)
     level = 0
     while True:
         here = f"{table}/level={level}"
-        frontier.select("path").mapInPandas(_list_dirs, _ENTRY).write.parquet(here)
+        frontier.select("path").mapInPandas(_lister(root, prefix), _ENTRY).write.parquet(here)
         hidden = F.regexp_extract("path", r"[^/]*$", 0).startswith(".")
         folders = spark.read.schema(_ENTRY).parquet(here).where(F.col("is_dir") & ~hidden)
         if folders.isEmpty():
@@ -129,11 +143,13 @@ def list_tree(spark: SparkSession, root: str, extensions: Sequence[str]) -> Data
 
 def ingest_binary(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
     """``path, content`` of the files below ``root`` (a folder or one file)."""
+    root = root.rstrip("/") or "/"
     listed = list_tree(spark, root, extensions)
     total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / READ_TASK_BYTES))
     # An explicit count: the listing is tiny, so AQE would merge it into one reader.
-    return listed.repartition(parts, "path").select("path").mapInPandas(_read_files, _CONTENT)
+    read = _reader(root, _prefix(root))
+    return listed.repartition(parts, "path").select("path").mapInPandas(read, _CONTENT)
 
 
 def ingest_tree(

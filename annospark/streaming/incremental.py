@@ -38,6 +38,11 @@ def file_counts(files: DataFrame) -> DataFrame:
     )
 
 
+def newest(files: DataFrame, *order: str) -> DataFrame:
+    """Last row per path, for batches that may bring a path more than once."""
+    return files.groupBy("path").agg(F.max_by("source", F.struct(*order)).alias("source"))
+
+
 def incremental_coverage(
     stream: DataFrame,
     state_path: str,
@@ -46,8 +51,8 @@ def incremental_coverage(
 ):
     """Start a query that takes in all rows available now and then ends.
 
-    ``counts`` turns the rows of one batch into state rows; when a path comes twice in
-    a batch it has to pick one.  Both paths must be on storage all executors share.
+    ``counts`` turns the rows of one batch into state rows, one per path; where a path
+    can come twice in a batch, put ``newest`` before it.  Both paths must be on storage all executors share.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:

@@ -108,19 +108,19 @@ def test_annotate_resume_and_dry_run(spark, files, tmp_path):
 def test_ingest_tree(spark, tmp_path):
     for name, body in {
         "a.py": b"x = 1\n", "pkg/__init__.py": b"", "pkg/.dot.py": b"y = 1\n", "_private/b.py": b"\xff\xfe",
-        ".git/c.py": b"no", "pkg/.hid/d.py": b"no", "pkg/deep/er/e.py": "é = 1\n".encode(), "f.txt": b"no",
+        ".git/c.py": b"no", "pkg/.hid/d.py": b"no", "odd/a b#1%20.py": b"z = 1\n", "pkg/deep/er/e.py": "é = 1\n".encode(), "f.txt": b"no",
     }.items():
         target = tmp_path / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(body)
     got = {os.path.relpath(r.path, tmp_path): r.source for r in corpora.ingest_tree(spark, str(tmp_path)).collect()}
     assert got == {"a.py": "x = 1\n", "pkg/__init__.py": "", "pkg/.dot.py": "y = 1\n", "_private/b.py": None,
-                   "pkg/deep/er/e.py": "é = 1\n"}
+                   "pkg/deep/er/e.py": "é = 1\n", "odd/a b#1%20.py": "z = 1\n"}
     assert corpora.ingest_tree(spark, str(tmp_path / "a.py")).count() == 1
     assert corpora.ingest_tree(spark, str(tmp_path / "f.txt")).count() == 0
     assert corpora.ingest_tree(spark, str(tmp_path / "absent")).count() == 0
     both = corpora.ingest_tree(spark, str(tmp_path), [".py", ".txt"])
-    assert both.count() == 6
+    assert both.count() == 7
     row = coverage.report(corpora.ingest_tree(spark, str(tmp_path))).first()
     assert row.skipped_files == 1
 
@@ -156,6 +156,13 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert len([n for n in os.listdir(state) if n.startswith("batch=")]) == 3
 
 
+def test_newest_row_per_path_in_one_batch(spark):
+    rows = [("a.py", "def f(): pass\n", 1), ("a.py", "x = 1\n", 2), ("b.py", "def g(): pass\n", 1)]
+    df = spark.createDataFrame(rows, "path string, source string, ts int")
+    got = {r.path: r.total for r in incremental.file_counts(incremental.newest(df, "ts")).collect()}
+    assert got == {"a.py": 0, "b.py": 1}
+
+
 def test_corpus_versions(spark, files, tmp_path):
     old, new = str(tmp_path / "v1"), str(tmp_path / "v2")
     corpora.write_corpus(files("a", "b"), old)
