@@ -1,0 +1,64 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+
+from annospark.llm import chat
+from annospark.llm.common import read
+
+ODD = [
+    (1, 0, "user", "same start"), (1, 1, "assistant", "a \\ <s>[x] </s>"), (2, 0, "user", "same start"), (2, 1, "assistant", "b"), (2, 2, "user", "\n] "),
+    (3, 0, "user", "same start"), (3, 1, "assistant", "b"), (3, 2, "user", "\n] "), (4, 0, None, None), (4, None, "assistant", "x"), (4, 0, "as[si]st", "y"),
+    (4, 0, "as[si]st", "y"), (None, 0, "user", "nobody"), (5, 0, "assistant", "é😀" * 30_000), (6, 0, "assistant", ""), (7, 0, "user", "same start"),
+]
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def plain(rows):
+    whole = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            whole[c].append((t is not None, t or 0, r or "", x or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    out = {}
+    for c, turns in whole.items():
+        turns.sort()
+        loss = "".join(x for *_, r, x in turns if r == "assistant")
+        written = sum(11 + len(r + x) + sum(k in "\\<[]" for k in r + x) for *_, r, x in turns)
+        out[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for *_, r, x in turns)), len(loss), sha(loss), written)
+    return out
+
+
+def test_rows_of_any_kind(spark):
+    df = spark.createDataFrame([(*r, 0) for r in ODD], SCHEMA + ", start int")
+    nodes, members = chat.tree(df)
+    got = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.read_back(nodes, members)).collect()}
+    assert got == plain(ODD)
+    empty = df.filter("false")
+    assert chat.digests(chat.read_back(*chat.tree(empty))).collect() == []
+
+
+def test_tree_is_packed_depth_first_and_attends_to_ancestors(spark):
+    nodes, members = chat.tree(spark.createDataFrame(ODD, SCHEMA))
+    rows = sorted(nodes.collect(), key=lambda r: r.start)
+    by = {r.node: r for r in rows}
+    assert len(by) == len(rows) and sum(r.content.startswith("<s>[user] same start") for r in rows) == 1
+    at, path = 0, []
+    for r in rows:
+        assert r.start == at
+        at += len(r.content)
+        path = path[: r.depth]
+        assert (path[-1] if path else None) == r.parent  # depth first: the parent is on the open path
+        assert [(a.start, a.end) for a in r.attends] == [(by[p].start, by[p].start + len(by[p].content)) for p in path]
+        assert r.position == sum(len(by[p].content) for p in path)
+        path.append(r.node)
+        if r.loss_start is not None:
+            assert r.content[: r.loss_start] == "<s>[assistant] " and r.content[r.loss_end :] == " </s>"
+    assert members.count() == sum(r[0] is not None for r in ODD)
+
+
+def test_query_on_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in read(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    assert {r.conv_id: tuple(r)[1:] for r in chat.op9_chat(spark, sf).collect()} == plain(rows)
