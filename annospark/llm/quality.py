@@ -102,7 +102,8 @@ def _suffix(gram: Column, bytes_: int) -> Column:
 def _discount(i: int, y: Column) -> Column:
     """What is taken off a count of ``i``; half a count where too few counts give the formula no value."""
     raw = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw)), F.lit(0.5)).alias(f"d{i}")
+    held = F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw))  # both pass over nulls
+    return F.when(raw.isNull(), 0.5).otherwise(held).alias(f"d{i}")
 
 
 def model(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
