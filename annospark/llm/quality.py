@@ -32,7 +32,7 @@ from annospark.llm.common import crc_mod, read, stored
 ORDER = 5
 QUANTILE = 0.99
 #: Most n-grams, of 12 bytes each, that every task gets whole.
-BROADCAST_GRAMS = 6_000_000
+BROADCAST_GRAMS = 4_000_000
 #: Most trusted ids, of 16 bytes each, that every task gets whole.
 BROADCAST_IDS = 2_000_000
 BLOCK_BYTES = 64 << 20
@@ -158,6 +158,17 @@ def _lookup(keys: np.ndarray, values: np.ndarray, text: str | None, order: int)
     return total, n
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, bits) -> a row of bytes for each language and batch."""
+    for batch in batches:
+        langs = np.array(batch.column(0).to_pylist(), dtype=object)
+        keys, values = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        some = sorted(set(langs))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.string()), pa.array([keys[langs == x].tobytes() for x in some], pa.binary()),
+             pa.array([values[langs == x].tobytes() for x in some], pa.binary())], ["lang", "keys", "bits"])
+
+
 def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS,
                broadcast_ids: int = BROADCAST_IDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity) of each row of ``docs``, per byte.
@@ -186,10 +197,14 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, broadcas
         return out
 
     if scored.count() <= broadcast_grams:
+        parts = defaultdict(list)
+        for lang, keys, values in scored.mapInArrow(_packed, "lang string, keys binary, bits binary").collect():
+            parts[lang].append((np.frombuffer(keys, np.int64), np.frombuffer(values, np.float32)))
         table = {}
-        got = scored.orderBy("lang", "gram").toPandas()
-        for lang, part in got.groupby("lang"):
-            table[lang] = part.gram.to_numpy(np.int64), part.bits.to_numpy(np.float32)
+        for lang, found in parts.items():
+            keys, values = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            place = np.argsort(keys)
+            table[lang] = keys[place], values[place]
         shared = spark.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
