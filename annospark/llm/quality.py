@@ -31,6 +31,7 @@ from annospark.llm.common import crc_mod, read, stored
 #: Bytes in an n-gram; up to 7 fit a key.
 ORDER = 5
 QUANTILE = 0.99
+LEAST_DISCOUNT = 0.05
 #: Most n-grams, of 12 bytes each, that every task gets whole.
 BROADCAST_GRAMS = 4_000_000
 #: Most trusted ids, of 16 bytes each, that every task gets whole.
@@ -102,7 +103,8 @@ def _suffix(gram: Column, bytes_: int) -> Column:
 def _discount(i: int, y: Column) -> Column:
     """What is taken off a count of ``i``; half a count where too few counts give the formula no value."""
     raw = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-    held = F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw))  # both pass over nulls
+    # never nothing, or a history would leave no share to what it has not seen
+    held = F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(i)), raw))  # both pass over nulls
     return F.when(raw.isNull(), 0.5).otherwise(held).alias(f"d{i}")
 
 

@@ -18,7 +18,7 @@ def plain_model(texts, order):
     for k, c in counts.items():
         n = Counter(c.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
-        off[k] = [min(max(0.0, i - (i + 1) * y * n[i + 1] / n[i]), i) if n[i] and y is not None else 0.5 for i in (1, 2, 3)]
+        off[k] = [min(max(q.LEAST_DISCOUNT, i - (i + 1) * y * n[i + 1] / n[i]), i) if n[i] and y is not None else 0.5 for i in (1, 2, 3)]
 
     def p(g):
         if not g:
