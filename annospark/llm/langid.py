@@ -163,7 +163,8 @@ class Coder:
                 self.words.clear()
             get = self.words.get
             short = [w for w in part if len(w) <= 60]
-            total += self.sums[[i if (i := get(w)) is not None else self.word(w) for w in short]].sum(axis=0)
+            places = [i if (i := get(w)) is not None else self.word(w) for w in short]
+            total += self.sums[places].sum(axis=0)  # read only now: new words may have grown it
             if len(short) < len(part):
                 for w in part:
                     if len(w) > 60:
