@@ -169,7 +169,7 @@ def only_missing(
     if annotations_df is None:
         return records.where(~F.col(flag))
     on = [key] if isinstance(key, str) else list(key)
-    return records.join(annotations_df.select(*on), on, "left_anti")
+    return records.join(annotations_df.select(*on).distinct(), on, "left_anti")
 
 
 def annotated(records: DataFrame, annotations_df: DataFrame, key: str | Sequence[str]) -> DataFrame:

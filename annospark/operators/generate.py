@@ -57,6 +57,10 @@ def _attempts(
     return None, kind, f"{reason} after {max_retries} attempts: {message}", max_retries, waited
 
 
+#: Prompts a task answers before another client is worth while, and the most clients.
+PROMPTS_PER_TASK, MOST_TASKS = 100, 64
+
+
 def generate(
     prompts: DataFrame,
     make_client: Callable[[], Callable[[str], str]],
@@ -67,8 +71,9 @@ def generate(
     """Adds ``answer, status, error, attempts, wait_s`` to prompt rows.
 
     ``make_client`` is called once per task and returns a function from prompt to
-    text.  ``tasks`` bounds the number of concurrent clients; rows are then dealt
-    round-robin, so no key can pile up in one task.  Filter before calling: nothing
+    text.  ``tasks`` is the number of concurrent clients; by default one for each
+    ``PROMPTS_PER_TASK`` prompts, ``MOST_TASKS`` at most, as a call costs the same whatever
+    the size of its row.  Rows are dealt round-robin, so no key can pile up in one task.  Filter before calling: nothing
     is pushed through a Python stage.  A lost task repeats its calls, so write the
     result and resume with ``pending``.
     """
@@ -82,13 +87,15 @@ def generate(
             done = pd.DataFrame(out, columns=columns, index=batch.index)
             yield pd.concat([batch, done.astype({"attempts": "int32"})], axis=1)
 
-    rows = prompts.repartition(tasks) if tasks else prompts
+    if not tasks:
+        tasks = min(MOST_TASKS, -(-max(1, prompts.count()) // PROMPTS_PER_TASK))
+    rows = prompts.repartition(tasks)
     return rows.mapInPandas(run, schema)
 
 
 def pending(prompts: DataFrame, generations: DataFrame) -> DataFrame:
     """Prompts without a successful generation, by prompt hash."""
-    done = generations.where(F.col("status") == OK).select("prompt_key")
+    done = generations.where(F.col("status") == OK).select("prompt_key").distinct()
     return prompts.join(done, "prompt_key", "left_anti")
 
 

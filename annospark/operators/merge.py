@@ -62,7 +62,10 @@ def targets(
 
     By default a docstring names its place by (path, line_number).  ``by_name``
     matches (path, name, parent_class) instead, null class being module level.
+    Of several docstrings for one place the smallest text is taken.
     """
+    place = ["path", "name", "parent_class"] if by_name else ["path", "line_number"]
+    new = new.groupBy(*place).agg(F.min("docstring").alias("docstring"))
     if not by_name:
         return sites.join(new.select("path", "line_number", "docstring"), ["path", "line_number"])
     right = new.select(

@@ -7,22 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 TEMPLATE = (
-    "Write a {style} style docstring for this Python function.\n"
+    "Below is how a Python function begins.\n"
     "\n"
-    "Signature:\n"
     "{signature}\n"
-    "\n"
-    "Start of the body:\n"
     "{body_preview}\n"
-    "\n"
-    "Please:\n"
-    "- keep to {style} conventions\n"
-    "- describe each parameter and the return value\n"
-    "- name exceptions the body clearly raises\n"
-    "- return ONLY the docstring text, no code fences and no explanation\n"
-    "{existing}"
+    "{existing}\n"
+    "Reply with the text of its docstring in {style} form and with nothing around it, neither quotes nor fences. "
+    "Open with one sentence on what the function is for. "
+    "Then take its arguments by name and say what comes back. "
+    "Leave out errors that these lines do not show."
 )
-EXISTING = "\nExisting docstring (improve if needed):\n"
+EXISTING = "\nWhat its docstring says so far:\n"
 
 # Documented tokens per function, input and output.
 TOKENS_IN, TOKENS_OUT = 400, 200

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from itertools import groupby
 
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annospark.functions.rules import is_hidden, is_negated, rule_regex, with_parents
 
 
+#: A line without a rule: blank, or a comment.
+NO_RULE = r"^\s*(?:#|$)"
+
+
 def drop_hidden(df: DataFrame, path: str = "path") -> DataFrame:
     """Rows not below a folder that starts with a dot."""
     return df.where(~is_hidden(F.col(path)))
@@ -18,15 +23,14 @@ def drop_hidden(df: DataFrame, path: str = "path") -> DataFrame:
 def parse_rules(lines: DataFrame) -> DataFrame:
     """Rules of an ignore file given as ``(…, seq, line)`` rows: blank and ``#`` lines
     dropped, order kept in ``seq``, a trailing comment stays part of the pattern."""
-    bare = F.trim(F.regexp_replace("line", r"\s+", " "))
     rest = [c for c in lines.columns if c != "line"]
-    return lines.where((bare != "") & ~bare.startswith("#")).select(
+    return lines.where(~F.col("line").rlike(NO_RULE)).select(
         *rest, F.col("line").alias("pattern")
     )
 
 
 def _clean(patterns: Sequence[str]) -> list[str]:
-    return [p for p in patterns if p.strip() and not p.strip().startswith("#")]
+    return [p for p in patterns if not re.match(NO_RULE, p, re.ASCII)]
 
 
 def excluded(path: Column, patterns: Sequence[str]) -> Column:

@@ -320,6 +320,18 @@ def parameters(inner: Column) -> Column:
     )
     lead = rf"^(?:\s|{lx.CONTINUATION})++"
     parts = F.transform(parts, lambda p: strip(F.regexp_replace(p, lead, "")))
+    # a comma between the arguments of a default's lambda parts nothing
+    parts = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, p: F.when(
+            F.coalesce(F.try_element_at(acc, F.lit(-1)).rlike(r"(?s)=.*\blambda\b[^:]*+$"), F.lit(False)),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.concat_ws(", ", F.try_element_at(acc, F.lit(-1)), p)),
+            ),
+        ).otherwise(F.concat(acc, F.array(p))),
+    )
     parts = F.filter(parts, lambda p: ~p.isin("", "*", "/"))
     ordered = let(
         parts,

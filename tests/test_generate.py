@@ -91,9 +91,9 @@ def test_prompt_contents(spark):
     ]
     out = {r.name: r.prompt for r in prompts.prompts(spark.createDataFrame(rows, schema), "google").collect()}
     assert "def add(a: int, *rest) -> int:" in out["add"] and "Google" in out["add"] and "return a" in out["add"]
-    assert "ONLY" in out["add"] and "code fences" in out["add"] and "Existing" not in out["add"]
+    assert "neither quotes nor fences" in out["add"] and "so far" not in out["add"]
     assert "Has one." in out["old"] and "def old():" in out["old"]
-    assert "Existing" not in out["empty"] and "\n{style}\n" in out["empty"]
+    assert "so far" not in out["empty"] and "\n{style}\n" in out["empty"]
 
 
 def test_cost_of_documented_project_sizes(spark):

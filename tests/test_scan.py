@@ -26,6 +26,11 @@ def test_simple_function(files):
     assert row.body_preview == "return a"
 
 
+def test_comma_in_the_lambda_of_a_default(files):
+    row = scan.functions(files("def f(key=lambda a, b: a, c: int = 3, *r, g=lambda: 0, h=lambda x, y=(1, 2): {1: 2}): pass\n")).first()
+    assert [(p.name, p.type_hint) for p in row.params] == [("key", None), ("c", "int"), ("g", None), ("h", None), ("*r", None)]
+
+
 def test_parameter_kinds_in_order(files):
     source = "def f(p, /, a, *rest: int, k: Dict[str, int] = {1: 2}, m=(1, [2, 3]), **kw: Any): ...\n"
     row = one(scan.functions(files(source)))
