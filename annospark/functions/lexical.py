@@ -30,7 +30,12 @@ _BRACKET_SWAP = "".join(chr(0xFDE4 + i) for i in range(len(_BRACKET_CHARS)))
 END = chr(0xFDEE)
 LONE = chr(0xFDEF)
 
-RESERVED = "[﷐-﷯]"
+# Such characters in the source itself: each gets GUARD before it and is swapped for a
+# stand-in, so that it means nothing to the scanner; ``show`` undoes this as well.
+GUARD = chr(0x10FFFE)
+_MARKS = "".join(chr(c) for c in range(0xFDD0, 0xFDF0))
+_STAND_INS = "".join(chr(0x10FF00 + i) for i in range(len(_MARKS)))
+_TO_GUARD = f"[{_MARKS[0]}-{_MARKS[-1]}{GUARD}]"
 STRING_NEWLINE = _STRING_SWAP[_STRING_CHARS.index("\n")]
 BRACKET_NEWLINE = _BRACKET_SWAP[0]
 CONTINUATION = _STRING_SWAP[3] + STRING_NEWLINE
@@ -121,9 +126,31 @@ def open_brackets(text: Column) -> Column:
     return F.translate(text, _BRACKET_SWAP, _BRACKET_CHARS)
 
 
+def guard(source: Column) -> Column:
+    """Source whose own noncharacters are out of the scanner's way."""
+    apart = F.regexp_replace(source, f"({_TO_GUARD})", f"{GUARD}$1")
+    return F.when(source.rlike(_TO_GUARD), F.translate(apart, _MARKS, _STAND_INS)).otherwise(source)
+
+
+def guarded_code(strings: Column) -> Column:
+    """Does a guarded character stand outside strings and comments?  Takes veiled strings."""
+    return strings.contains(GUARD) & F.regexp_replace(strings, rf"{STRING}|#[^\n]*+", "").contains(GUARD)
+
+
+def _unguarded(text: Column) -> Column:
+    def one(piece: Column) -> Column:
+        plain = F.translate(F.substring(piece, 2, 1), _STAND_INS, _MARKS)
+        return F.when(piece.startswith(GUARD), plain).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){GUARD}.|[^{GUARD}]++"), F.lit(0))
+    return F.when(text.contains(GUARD), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
 def show(text: Column) -> Column:
     """Original text of a veiled piece."""
-    return F.translate(text, _STRING_SWAP + _BRACKET_SWAP + END + LONE, _STRING_CHARS + _BRACKET_CHARS)
+    return _unguarded(
+        F.translate(text, _STRING_SWAP + _BRACKET_SWAP + END + LONE, _STRING_CHARS + _BRACKET_CHARS)
+    )
 
 
 def newline_count(text: Column) -> Column:

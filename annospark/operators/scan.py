@@ -54,11 +54,11 @@ def tokens(files: DataFrame) -> DataFrame:
 
 @per_context
 def _veil_columns() -> tuple[Column, Column, Column]:
-    source = F.col("source")
-    fault = F.when(source.isNull(), "unreadable source").when(
-        source.rlike(lx.RESERVED), "reserved character"
+    source, strings = F.col("source"), F.col("_strings")
+    fault = F.when(strings.isNull(), "unreadable source").when(
+        lx.guarded_code(strings), "reserved character"
     )
-    return lx.veil_strings(lx.unix_newlines(source)), lx.veil_brackets(F.col("_strings")), fault
+    return lx.veil_strings(lx.guard(lx.unix_newlines(source))), lx.veil_brackets(strings), fault
 
 
 def veiled(files: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def veiled(files: DataFrame) -> DataFrame:
     ``fault``, why it cannot be scanned at all."""
     strings, brackets, fault = _veil_columns()
     keep = [c for c in files.columns if c != "source"]
-    return files.select(*keep, strings.alias("_strings"), fault.alias("fault")).select(
-        *keep, "fault", brackets.alias("text")
+    return files.select(*keep, strings.alias("_strings")).select(
+        *keep, fault.alias("fault"), brackets.alias("text")
     )
 
 
@@ -200,22 +200,33 @@ def _scopes_column() -> Column:
     """Innermost enclosing class per header.
 
     The stack of open classes is folded over the headers of one top-level
-    definition at a time, so the fold stays as small as that definition.
+    definition at a time.  The fold notes only where the innermost class changes, so
+    a class of many methods adds one note, not one for each of them.
     """
     headers = F.col("_headers")
     empty = F.struct(
         F.expr("cast(array() as array<struct<indent:int,name:string>>)").alias("open"),
-        F.expr("cast(array() as array<string>)").alias("out"),
+        F.expr("cast(array() as array<struct<at:int,name:string>>)").alias("runs"),
+        F.lit(0).alias("at"),
     )
 
     def step(acc: Column, h: Column) -> Column:
         still = F.filter(acc["open"], lambda c: c["indent"] < h["low"])
         entry = F.struct(h["indent"].alias("indent"), h["name"].alias("name"))
+        runs, owner = acc["runs"], F.get(still, F.size(still) - 1)["name"]
+        same = (acc["at"] > 0) & F.get(runs, F.size(runs) - 1)["name"].eqNullSafe(owner)
+        begun = F.struct(acc["at"].alias("at"), owner.alias("name"))
         return F.struct(
             F.when(h["is_class"], F.concat(still, F.array(entry))).otherwise(still).alias("open"),
-            F.concat(acc["out"], F.array(F.get(still, F.size(still) - 1)["name"])).alias("out"),
+            F.when(same, runs).otherwise(F.concat(runs, F.array(begun))).alias("runs"),
+            (acc["at"] + 1).alias("at"),
         )
 
+    def spread(acc: Column) -> Column:
+        runs = acc["runs"]
+        until = lambda i: F.coalesce(F.get(runs, i + 1)["at"], acc["at"])
+        return F.flatten(F.transform(runs, lambda r, i: F.array_repeat(r["name"], until(i) - r["at"])))
+
     heads = F.filter(
         F.transform(headers, lambda h, i: F.when((i == 0) | (h["low"] == 0), i)),
         lambda i: i.isNotNull(),
@@ -229,7 +240,7 @@ def _scopes_column() -> Column:
             ),
         ),
     )
-    return F.flatten(F.transform(blocks, lambda b: F.aggregate(b, empty, step, lambda a: a["out"])))
+    return F.flatten(F.transform(blocks, lambda b: F.aggregate(b, empty, step, spread)))
 
 
 @per_context

@@ -13,6 +13,13 @@ from annospark.operators import coverage, diff, generate, merge, prompts, runs,
 from annospark.sources.shared import shared_folder
 
 
+#: What of a function's place an edit needs.
+PLACE = (
+    "path", "line_number", "name", "parent_class", "one_line", "has_docstring",
+    "body_indent", "doc_rest", "header_end", "doc_end",
+)
+
+
 @dataclass(frozen=True)
 class Run:
     """Tables a run gives back.  Only the scan and the generations are written."""
@@ -45,9 +52,9 @@ def annotate(
     """Scan, prompt, generate, validate, clean and merge.
 
     Answers are written to ``generations_path`` (by default a table in the shared
-    folder) before anything reads them, so a lost executor or a second reader never
-    pays for an answer twice; a later run with the same path asks only for prompts
-    it does not hold yet.  ``dry_run`` plans the edits as if overwriting and leaves
+    folder) before anything reads them, so a second reader or an executor lost after that
+    does not pay for an answer twice; a task lost before it commits repeats its calls.  A
+    later run with the same path asks only for prompts it does not hold yet.  ``dry_run`` plans the edits as if overwriting and leaves
     the corpus as it is.
     """
     spark = files.sparkSession
@@ -59,7 +66,7 @@ def annotate(
     path = generations_path or shared_folder(spark, "generations")
     overwriting = overwrite or dry_run
     asked = coverage.only_missing(sites) if only_missing else sites
-    asked = prompts.prompts(asked, style).select("path", "line_number", "prompt", "prompt_key")
+    asked = prompts.prompts(asked, style).select(*PLACE, "prompt", "prompt_key")
 
     # Equal prompts get one answer.
     wanted = asked.select("prompt", "prompt_key").dropDuplicates(["prompt_key"])
@@ -72,9 +79,15 @@ def annotate(
     generations = spark.read.parquet(path)
 
     best = generations.groupBy("prompt_key").agg(
-        F.max_by(F.struct("answer", "status", "error"), F.col("status") == generate.OK).alias("g")
+        F.max_by(
+            F.struct("answer", "status", "error"),
+            F.struct(F.col("status") == generate.OK, "status", "error", "answer"),
+        ).alias("g")
+    )
+    # what an edit needs comes along, so answers are not joined to their places again
+    answered = asked.join(best, "prompt_key").select(
+        *PLACE, F.col("g.answer").alias("answer"), F.col("g.status").alias("status"), F.col("g.error").alias("error")
     )
-    answered = asked.join(best, "prompt_key").select("path", "line_number", "g.*")
     raw = F.col("answer")
     tested = answered.withColumn("check", validate(clean(raw) if clean_first else raw, style))
     ok = F.col("status") == generate.OK
@@ -82,15 +95,16 @@ def annotate(
     invalid = tested.where(ok & ~F.col("check.valid")).withColumn("error", F.col("check.error"))
     valid = tested.where(ok & F.col("check.valid")).withColumn("docstring", clean(raw))
 
-    edit_rows = merge.edits(merge.targets(sites, valid), overwriting)
+    edit_rows = merge.edits(valid, overwriting)
     errors = runs.all_errors(
         coverage.parse_errors(status),
         runs.record_errors(failed, "LLM error"),
         runs.record_errors(invalid, "Validation failed"),
         runs.record_errors(edit_rows, "Patch error"),
     )
+    failed_columns = ["path", "line_number", "error"]
     outcomes = edit_rows.select("path", "line_number", "outcome", "error").unionByName(
-        failed.unionByName(invalid.select(*failed.columns)).select(
+        failed.select(*failed_columns).unionByName(invalid.select(*failed_columns)).select(
             "path", "line_number", F.lit("error").alias("outcome"), "error"
         )
     )

@@ -1,14 +1,14 @@
 """Coverage kept current while files change.
 
 A micro-batch scans only the files it brings and appends their counts, one small row
-per file, under a folder named after the batch.  Replaying a batch writes the same
-folder again.  The current state is the newest row per path; no batch rewrites what
+per file, under a folder named after the batch; a removed file leaves a row without counts.
+Replaying a batch writes the same folder again.  The current state is the newest row per path; no batch rewrites what
 earlier batches wrote, and source text is never part of the state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -27,20 +27,26 @@ STATE = T.StructType(
 
 
 def file_counts(files: DataFrame) -> DataFrame:
-    """``path, group, readable, total, documented`` per file; null group."""
-    rows = scan.records(scan.headers(files))
+    """``path, group, readable, total, documented`` per file; null group.
+
+    A file whose boolean column ``deleted`` is true has been removed: its counts are null.
+    """
+    gone = F.coalesce("deleted", F.lit(False)) if "deleted" in files.columns else F.lit(False)
+    rows = scan.records(scan.headers(files.withColumn("_gone", gone)))
     is_function = F.col("line_number").isNotNull() & ~F.col("is_class")
     return rows.groupBy("path").agg(
         F.lit(None).cast("string").alias("group"),
         F.bool_and(F.col("error").isNull()).alias("readable"),
-        F.count_if(is_function).alias("total"),
-        F.count_if(is_function & F.col("has_docstring")).alias("documented"),
+        F.when(~F.bool_or("_gone"), F.count_if(is_function)).alias("total"),
+        F.when(~F.bool_or("_gone"), F.count_if(is_function & F.col("has_docstring"))).alias("documented"),
     )
 
 
 def newest(files: DataFrame, *order: str) -> DataFrame:
     """Last row per path, for batches that may bring a path more than once."""
-    return files.groupBy("path").agg(F.max_by("source", F.struct(*order)).alias("source"))
+    rest = [c for c in files.columns if c != "path"]
+    last = files.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select("path", "_last.*")
 
 
 def incremental_coverage(
@@ -48,15 +54,17 @@ def incremental_coverage(
     state_path: str,
     checkpoint: str,
     counts: Callable[[DataFrame], DataFrame] = file_counts,
+    order: Sequence[str] = (),
 ):
     """Start a query that takes in all rows available now and then ends.
 
-    ``counts`` turns the rows of one batch into state rows, one per path; where a path
-    can come twice in a batch, put ``newest`` before it.  Both paths must be on storage all executors share.
+    ``counts`` turns the rows of one batch into state rows, one per path.  Where a path
+    can come twice in a batch, name the columns of ``order`` that tell which row is the
+    newest.  Both paths must be on storage all executors share.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        rows = counts(batch).select("path", "group", "readable", "total", "documented")
+        rows = counts(newest(batch, *order) if order else batch).select("path", "group", "readable", "total", "documented")
         rows.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
     return (
@@ -68,10 +76,10 @@ def incremental_coverage(
 
 
 def current_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """Newest row per path."""
+    """Newest row per path, without the removed ones."""
     rows = spark.read.schema(STATE).parquet(state_path)
     newest = F.max_by(F.struct("group", "readable", "total", "documented"), "batch").alias("s")
-    return rows.groupBy("path").agg(newest).select("path", "s.*")
+    return rows.groupBy("path").agg(newest).select("path", "s.*").where("total is not null")
 
 
 def current_coverage(spark: SparkSession, state_path: str, by_group: bool = False) -> DataFrame:

@@ -163,6 +163,23 @@ def test_newest_row_per_path_in_one_batch(spark):
     assert got == {"a.py": 0, "b.py": 1}
 
 
+def test_removed_files_leave_coverage(spark, tmp_path):
+    schema = "path string, source string, deleted boolean, ts int"
+    inbox, state, checkpoint = (str(tmp_path / n) for n in ("inbox", "state", "checkpoint"))
+    batches = [
+        [("a.py", "def f(): pass\n", False, 1), ("b.py", "def g():\n    'd'\n", None, 1), ("b.py", "def h(): pass\n", None, 0)],
+        [("a.py", None, True, 3), ("a.py", "def f(): pass\n", False, 2)],
+    ]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        incremental.incremental_coverage(stream, state, checkpoint, order=("ts",)).awaitTermination()
+        row = incremental.current_coverage(spark, state).first()
+        seen.append((row.total, row.documented, row.skipped_files))
+    assert seen == [(2, 1, 0), (1, 1, 0)]
+
+
 def test_corpus_versions(spark, files, tmp_path):
     old, new = str(tmp_path / "v1"), str(tmp_path / "v2")
     corpora.write_corpus(files("a", "b"), old)

@@ -160,7 +160,8 @@ def test_preview(files):
         ("def f():\nx = 1\n", "expected an indented block"),
         ("class C:\n", "expected an indented block"),
         ("x = 1\n    y = 2\n", "unexpected indent"),
-        ("x = '\ufdd0'\n", "reserved character"),
+        ("x = '\ufdd0'  # \ufdef\U0010fffe\n", None),
+        ("x\ufdd0 = 1\n", "reserved character"),
         ("", None),
         ("# only a comment\n", None),
         ("if a:  # note: this\n    b = [\n  1]  # x\n", None),
@@ -174,6 +175,23 @@ def test_parse_status(files, source, error):
     assert one(scan.parse_status(files(source))).error == error
 
 
+def test_noncharacters_in_strings_come_back(files):
+    odd = "say \ufdd0 \ufdee \U0010fffe \U0010ff00 \U0010fffe\ufdd3"
+    got = one(scan.functions(files(f'def f(a: "{odd}" = 1):\n    """{odd}"""\n    return "{odd}"  # {odd}\n')))
+    assert got.existing_docstring == odd
+    assert [tuple(p) for p in got.params] == [("a", f'"{odd}"')]
+    assert got.body_preview == f'return "{odd}"  # {odd}'
+
+
+def test_classes_change_within_one_definition(files):
+    source = (
+        "class A:\n    def a(self): pass\n    class B:\n        def b(self): pass\n        def c(self): pass\n"
+        "    def d(self): pass\n    def e(self): pass\ndef f(): pass\nclass C:\n    def g(self): pass\n"
+    )
+    got = {r.name: r.parent_class for r in scan.functions(files(source)).collect()}
+    assert got == {"a": "A", "b": "B", "c": "B", "d": "A", "e": "A", "f": None, "g": "C"}
+
+
 def test_unreadable_file_has_no_functions_and_one_row(spark, files):
     df = files("def f(): pass\ndef broken(\n", "x = 1\n", None)
     assert scan.functions(df).count() == 0
