@@ -10,7 +10,7 @@ or a threat:
 * score gives each rewritten symbol its weight.
 
 A clause's evidence is the sum over its path; a document's score is the noisy-or of its
-clauses.  Insults are learned: words and word beginnings that labelled toxic documents use
+clauses, with prior odds that fall as a document grows.  Insults are learned: words and word beginnings that labelled toxic documents use
 far more than others, with their log odds as weight.  The other lists are fixed.
 """
 
@@ -57,6 +57,10 @@ STEMS = range(3, 9)
 SEED_WEIGHT = 5.0
 #: Log odds of a clause without any evidence.
 BIAS = -3.5
+#: Words of a document that bears this bias; in a longer one chance matches are likelier, in proportion.
+USUAL_WORDS = 300
+#: What a clause's probability counts for whose insults and threats an earlier clause has had: it repeats, it does not confirm.
+REPEATED = 0.1
 PREDICTED = 0.7
 KEPT_WORDS = 400_000
 
@@ -170,16 +174,22 @@ class Scorer:
         """Score of a whole text and how many of its clauses matched."""
         low = (text or "").lower()
         known, read = self.known, self.read
-        hot = {w for w in set(WORDS.findall(low)) if (known.get(w) or read(w))[0] in (INSULT, THREAT)}
+        words = WORDS.findall(low)
+        hot = {w for w in set(words) if (known.get(w) or read(w))[0] in (INSULT, THREAT)}
         clean, matched = 1.0, 0
         if hot:
+            had: set[frozenset[str]] = set()
             for m in CLAUSES.finditer(low):
                 clause = m[0]
-                if not hot.isdisjoint(WORDS.findall(clause)) and (evidence := self.clause(clause)) > 0:
+                found = hot.intersection(WORDS.findall(clause))
+                if found and (evidence := self.clause(clause)) > 0:
                     matched += 1
-                    clean *= 1.0 - 1.0 / (1.0 + math.exp(-(BIAS + evidence)))
+                    p = 1.0 / (1.0 + math.exp(-(BIAS + evidence)))
+                    clean *= 1.0 - (REPEATED * p if found in had else p)
+                    had.add(frozenset(found))
         base = 1.0 / (1.0 + math.exp(-2 * BIAS))
-        return 1.0 - clean * (1.0 - base), matched
+        none = clean * (1.0 - base)
+        return (1.0 - none) / (1.0 - none + none * max(1.0, len(words) / USUAL_WORDS)), matched
 
 
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
