@@ -28,7 +28,13 @@ CURVES = 12
 AXES, BITS = 6, 10
 #: Vectors in a window.
 WINDOW = 4096
+#: Numbers in a block of vectors and in a block of queries of the second round; blocks at least,
+#: if they have a window's share; vectors in a run with one bound.
+HELD, ASKED = 1 << 22, 1 << 20
+BLOCKS, LEAST = 24, 1024
+RUN = 512
 SEED = 20
+FOUND = "vec array<double>, other array<double>, ids array<long>"
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -93,9 +99,64 @@ def distinct(vectors: DataFrame, k: int) -> DataFrame:
     return stored(merged, "vectors")
 
 
+def reach(q: np.ndarray, bound: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in q, in held) of the pairs that may be among the ``k`` best of q and reach its bound.
+
+    A run of ``held`` is multiplied out for the queries whose bound its centre and radius do not rule out.
+    """
+    bound, norms, rows, cols = bound.copy(), np.sqrt((q * q).sum(axis=1)), [], []
+    for at in range(0, len(held), RUN):
+        x = held[at : at + RUN]
+        centre = x.mean(axis=0)
+        radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
+        slack = 1e-12 * norms * (np.sqrt((centre * centre).sum()) + radius)  # what rounding may take
+        some = np.flatnonzero(q @ centre + norms * radius + slack >= bound)
+        for part in np.array_split(some, -(-len(some) // 4096)) if len(some) else ():
+            scores = q[part] @ x.T
+            if scores.shape[1] > k:
+                full = np.flatnonzero((scores >= bound[part, None]).sum(axis=1) > k)
+                if len(full):
+                    edge = np.partition(scores[full], -k, axis=1)[:, -k]
+                    bound[part[full]] = np.maximum(bound[part[full]], edge)
+            i, j = np.nonzero(scores >= (bound - slack)[part, None])
+            rows.append(part[i]), cols.append(j + at)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *cols])
+
+
+def beyond(points: DataFrame, bound: DataFrame, k: int) -> DataFrame:
+    """(vec, other, ids): for each query all vectors that reach its bound, the ``k`` + 1 best among them.
+
+    points: one curve of (vec, ids, asks, size, rank); bound: (vec, bound) of queries that have one.
+    Rows are dealt to pairs of blocks, so that a task holds one block of each however many there are.
+    """
+    n, asks, size = points.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max("size"), F.lit(1))).first()
+    block = max(min(n // BLOCKS, HELD // size), min(LEAST, HELD // size), 1)
+    parts = -(-asks // max(ASKED // size, 1)) or 1
+    points = points.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    # one row for each length of vectors
+    spans = F.broadcast(points.groupBy("size").agg(F.min("block").alias("lo"), F.max("block").alias("hi")))
+    seekers = points.filter("asks").join(bound, "vec", "left").join(spans, "size").select(
+        F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence("lo", "hi")).alias("block"),
+        F.lit(True).alias("asks"), "vec", "size", F.expr("cast(null as array<long>)").alias("ids"), "bound", "rank")
+    there = points.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(False).alias("asks"), "vec", "size",
+                          "ids", F.expr("cast(null as double)").alias("bound"), "rank")
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame([], columns=["vec", "other", "ids"])]
+        for _, group in frame.groupby("size"):
+            q, p = group[group.asks], group[~group.asks].sort_values("rank")
+            if len(q) and len(p):
+                i, j = reach(np.stack(q.vec.to_numpy()), q.bound.fillna(-np.inf).to_numpy(), np.stack(p.vec.to_numpy()), k + 1)
+                out.append(pd.DataFrame({"vec": q.vec.to_numpy()[i], "other": p.vec.to_numpy()[j], "ids": p.ids.to_numpy()[j]}))
+        return pd.concat(out)
+
+    return seekers.unionByName(there).groupBy("part", "block").applyInPandas(run, FOUND)
+
+
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
            curves: int = CURVES, window: int = WINDOW, axes: int = AXES, seed: int = SEED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each query.
+    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product for each query.
 
     ``queries`` are rows of ``vectors``; a query is no candidate of its own.  Vectors null,
     empty, zero or with null or non-finite components take no part, nor do rows without id;
@@ -155,12 +216,16 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                     out += [(vec, held[j], ids[j]) for j in some]
         return pd.DataFrame(out, columns=["vec", "other", "ids"])
 
-    found = seekers.unionByName(there).groupBy("curve", "w").applyInPandas(best, "vec array<double>, other array<double>, ids array<long>")
-    pairs = found.groupBy("vec", "other").agg(F.first("ids").alias("ids"))
-    score = F.expr("aggregate(zip_with(vec, other, (x, y) -> x * y), 0d, (s, x) -> s + x)")
-    single = pairs.select("vec", F.explode("ids").alias("vec_id"), score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id"))
-    top = single.withColumn("place", place).filter(F.col("place") <= k + 1)
+    def first(found: DataFrame) -> DataFrame:
+        pairs = found.groupBy("vec", "other").agg(F.first("ids").alias("ids"))
+        score = F.expr("aggregate(zip_with(vec, other, (x, y) -> x * y), 0d, (s, x) -> s + x)")
+        single = pairs.select("vec", F.explode("ids").alias("vec_id"), score.alias("score"))
+        place = F.row_number().over(Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id"))
+        return single.withColumn("place", place).filter(F.col("place") <= k + 1)
+
+    found = first(seekers.unionByName(there).groupBy("curve", "w").applyInPandas(best, FOUND))
+    bound = stored(found.filter(F.col("place") == k + 1).select("vec", F.col("score").alias("bound")), "bounds")
+    top = first(beyond(placed.filter("curve = 0"), bound, k))
     named = top.join(asked, "vec").select("query_id", "vec_id", "score", "place").filter("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("int")
     return named.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
