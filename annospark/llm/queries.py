@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from annospark.llm import bpe, chat, decontaminate, hilbert, langid, pii, quality, simhash, templates, toxicity
+from annospark.llm import (
+    bpe, chat, decontaminate, hilbert, langid, mixing, pii, quality, simhash, templates, toxicity, variants, whitening,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_variants": variants.op13_variants,
 }
 
-ORACLES = {"op9_chat": chat.OP9_SQL}
+ORACLES = {"op9_chat": chat.OP9_SQL, "op11_mixing": mixing.OP11_SQL}
