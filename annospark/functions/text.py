@@ -98,3 +98,16 @@ def quote(col: Column) -> Column:
         .otherwise(bare),
     )
     return F.concat(F.lit('"""'), inner, F.lit('"""'))
+
+
+#: Escapes that Python reads whatever follows; a named character may not exist, so it is not one.
+_ESCAPE = r"(?s)\\(?:[^xuUN]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})"
+
+
+def quotable(literal: Column) -> Column:
+    """True when the result of ``quote`` is one Python literal: nothing inside closes it
+    early, joins its closing quotes, escapes them or is an escape that Python rejects."""
+    def sound(inner: Column) -> Column:
+        return ~(inner.contains("\\") | inner.contains('"""') | inner.endswith('"') | inner.contains("\x00"))
+
+    return let(F.regexp_replace(_between(literal, '"""'), _ESCAPE, "_"), sound)

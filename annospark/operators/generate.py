@@ -34,7 +34,7 @@ class GenerationError(Exception):
             self.kind = kind
 
 
-def _attempts(
+def attempts_of(
     call: Callable[[str], str], prompt: str, max_retries: int, sleep: Callable[[float], None]
 ) -> tuple[str | None, str, str | None, int, float]:
     waited = 0.0
@@ -57,8 +57,8 @@ def _attempts(
     return None, kind, f"{reason} after {max_retries} attempts: {message}", max_retries, waited
 
 
-#: Prompts a task answers before another client is worth while, and the most clients.
-PROMPTS_PER_TASK, MOST_TASKS = 100, 64
+#: Prompts a task answers before another client is worth while.
+PROMPTS_PER_TASK = 100
 
 
 def generate(
@@ -71,11 +71,11 @@ def generate(
     """Adds ``answer, status, error, attempts, wait_s`` to prompt rows.
 
     ``make_client`` is called once per task and returns a function from prompt to
-    text.  ``tasks`` is the number of concurrent clients; by default one for each
-    ``PROMPTS_PER_TASK`` prompts, ``MOST_TASKS`` at most, as a call costs the same whatever
-    the size of its row.  Rows are dealt round-robin, so no key can pile up in one task.  Filter before calling: nothing
-    is pushed through a Python stage.  A lost task repeats its calls, so write the
-    result and resume with ``pending``.
+    text.  ``tasks`` is the number of clients at work; by default one for each
+    ``PROMPTS_PER_TASK`` prompts, up to four for each core of the cluster, as a call costs the same
+    whatever the size of its row.  Rows are dealt round-robin, so no key can pile up in one task.
+    Filter before calling: nothing is pushed through a Python stage.  A lost task repeats its
+    calls; ``chunks.answer_all`` keeps answers as they come.
     """
     schema = T.StructType(prompts.schema.fields + schemas.GENERATION_FIELDS)
     columns = [f.name for f in schemas.GENERATION_FIELDS]
@@ -83,12 +83,13 @@ def generate(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:
-            out = [_attempts(client, p, max_retries, sleep) for p in batch["prompt"]]
+            out = [attempts_of(client, p, max_retries, sleep) for p in batch["prompt"]]
             done = pd.DataFrame(out, columns=columns, index=batch.index)
             yield pd.concat([batch, done.astype({"attempts": "int32"})], axis=1)
 
     if not tasks:
-        tasks = min(MOST_TASKS, -(-max(1, prompts.count()) // PROMPTS_PER_TASK))
+        most = 4 * prompts.sparkSession.sparkContext.defaultParallelism
+        tasks = min(most, -(-max(1, prompts.count()) // PROMPTS_PER_TASK))
     rows = prompts.repartition(tasks)
     return rows.mapInPandas(run, schema)
 

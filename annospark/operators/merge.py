@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annospark.functions.binding import let
 from annospark.functions.cached import per_context
 from annospark.functions.lexical import unix_newlines
-from annospark.functions.text import quote
+from annospark.functions.text import quotable, quote
 from annospark.operators import scan
 
 ADDED, UPDATED, UNCHANGED = "added", "updated", "unchanged"
@@ -84,29 +84,32 @@ def edits(targeted: DataFrame, overwrite: bool = False) -> DataFrame:
     """One row per targeted function: its ``outcome`` and, where it changes, the edit.
 
     After line ``after`` of the file, lines up to ``upto`` are removed and ``text``
-    is put in.  A function whose body is on the header line cannot take a docstring;
-    that is an error on the row.
+    is put in.  A function whose body is on the header line cannot take a docstring, nor can
+    any that would not be read as one literal; that is an error on the row.
     """
-    return targeted.select("path", "line_number", "name", "parent_class", *_edit_columns(overwrite))
+    return targeted.select("path", "line_number", "name", "parent_class", *edit_columns(overwrite))
 
 
 @per_context
-def _edit_columns(overwrite: bool) -> list[Column]:
-    change = F.when(F.col("one_line"), F.lit(False)).when(
-        F.col("has_docstring"), F.lit(overwrite)
-    ).otherwise(True)
+def edit_columns(overwrite: bool) -> list[Column]:
+    """``outcome, error, after, upto, text`` of rows with a place and its ``docstring``."""
+    wanted = ~F.col("has_docstring") | F.lit(overwrite)
+    broken = ~F.col("one_line") & wanted & ~F.coalesce(quotable(quote(F.col("docstring"))), F.lit(True))
+    change = ~F.col("one_line") & wanted & ~broken
     literal = F.concat("body_indent", quote(F.col("docstring")))
     rest = F.coalesce("doc_rest", F.lit(""))
     text = F.concat(
         literal, F.when(rest != "", F.concat(F.lit("\n"), "body_indent", rest)).otherwise("")
     )
     return [
-        F.when(F.col("one_line"), "error")
+        F.when(F.col("one_line") | broken, "error")
         .when(change & F.col("has_docstring"), UPDATED)
         .when(change, ADDED)
         .otherwise(UNCHANGED)
         .alias("outcome"),
-        F.when(F.col("one_line"), "Failed to patch file: body is on the header line").alias("error"),
+        F.when(F.col("one_line"), "Failed to patch file: body is on the header line")
+        .when(broken, "Failed to patch file: docstring is not one literal")
+        .alias("error"),
         F.when(change, F.col("header_end")).alias("after"),
         F.when(change, F.coalesce("doc_end", "header_end")).alias("upto"),
         F.when(change, text).alias("text"),

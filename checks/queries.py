@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annospark.functions import lexical, rules as rule_functions, text, validate as val
 from annospark.operators import (
+    chunks,
     coverage,
     diff,
     generate,
@@ -580,6 +581,17 @@ def g1(spark, d):
     return generate.generate(asked, echo_client).drop("prompt")
 
 
+@query("g1_committed_chunks", """
+    SELECT conv_id, turn, chr(96) || chr(96) || chr(96) || chr(10) || text
+        || chr(10) || chr(96) || chr(96) || chr(96) AS answer, 'ok' AS status
+    FROM conversations""")
+def g1c(spark, d):
+    asked = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("prompt"), F.sha2("text", 256).alias("prompt_key"))
+    answers = chunks.answer_all(asked, echo_client, shared_folder(spark, "answers"))
+    return asked.join(chunks.best(answers), "prompt_key").select("conv_id", "turn", "answer", "status")
+
+
 OUTCOME_SQL = """CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'rate_limit'
     WHEN 'signup' THEN 'auth' ELSE 'other' END"""
 MAX_RETRIES = 5
@@ -633,6 +645,15 @@ def g4(spark, d):
         "conv_id", "turn", generate.is_empty_answer(answer).alias("empty"))
 
 
+def lang_settings(docs: DataFrame) -> DataFrame:
+    langs = docs.select("lang").distinct().where(F.col("lang") != "en")
+    provider = F.when(F.col("lang") == "fr", "ollama").when(F.col("lang") == "es", "openai").otherwise("other")
+    return langs.select(
+        "lang", provider.alias("provider"), F.concat(F.lit("m-"), "lang").alias("model"),
+        F.when(F.col("lang") == "es", "http://proxy.local/").alias("base_url"),
+        (F.col("lang") == "es").alias("has_key"))
+
+
 @query("g5_route", """
     SELECT doc_id, lang, CASE lang WHEN 'fr' THEN 'ollama' WHEN 'es' THEN 'openai' WHEN 'de' THEN 'other'
             ELSE 'anthropic' END AS provider,
@@ -643,13 +664,27 @@ def g4(spark, d):
             WHEN 'en' THEN 'anthropic API key is required' END AS error FROM documents""")
 def g5(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    langs = docs.select("lang").distinct().where(F.col("lang") != "en")
-    provider = F.when(F.col("lang") == "fr", "ollama").when(F.col("lang") == "es", "openai").otherwise("other")
-    chosen = langs.select(
-        "lang", provider.alias("provider"), F.concat(F.lit("m-"), "lang").alias("model"),
-        F.when(F.col("lang") == "es", "http://proxy.local/").alias("base_url"),
-        (F.col("lang") == "es").alias("has_key"))
-    return generate.route(docs, chosen, project="lang")
+    return generate.route(docs, lang_settings(docs), project="lang")
+
+
+def naming_client(provider, model, base_url):
+    """Answers with its own place and the length of the prompt."""
+    return lambda prompt: f"{provider} {model} {base_url} {len(prompt)}"
+
+
+@query("g5_routed_generate", """
+    SELECT doc_id, CASE lang WHEN 'fr' THEN 'ollama m-fr http://localhost:11434 '
+            WHEN 'es' THEN 'openai m-es http://proxy.local ' END || CAST(length(text) AS VARCHAR) AS answer,
+        CASE lang WHEN 'fr' THEN 'ok' WHEN 'es' THEN 'ok' WHEN 'de' THEN 'other' ELSE 'auth' END AS status,
+        CASE lang WHEN 'de' THEN 'Unsupported provider: other'
+            WHEN 'en' THEN 'anthropic API key is required' END AS error FROM documents""")
+def g5r(spark, d):
+    docs = table(spark, d, "documents").select(
+        "doc_id", "lang", F.col("text").alias("prompt"), F.sha2(F.concat_ws(" ", "doc_id", "text"), 256).alias("prompt_key"))
+    routed = generate.route(docs, lang_settings(docs), project="lang")
+    answers = chunks.answer_all(
+        routed, naming_client, shared_folder(spark, "answers"), route=("provider", "model", "base_url"))
+    return docs.join(chunks.best(answers), "prompt_key").select("doc_id", "answer", "status", "error")
 
 
 @query("g6_pending", """
@@ -994,6 +1029,27 @@ def e1(spark, d):
     return dry(spark, d, only_missing=True).corpus
 
 
+@query("e1_annotate_by_settings", oracle(f"""
+    SELECT path, md5(string_agg(class_head || deco || head || CASE
+            WHEN broken OR documented OR stub OR {FAIL} OR path NOT LIKE 'src/%' OR {BAD} AND m % 7 <> 1 THEN doc
+            WHEN {BAD} THEN ind || '    \"\"\"Args:' || chr(10) || '    x: value\"\"\"' || chr(10)
+            ELSE ind || '    \"\"\"Does it.\"\"\"' || chr(10) END || ghost_text || body, chr(10) ORDER BY k)
+        || CASE WHEN bool_or(broken) THEN chr(10) || 'def broken(' ELSE '' END) AS digest
+    FROM fx GROUP BY path"""))
+def e1s(spark, d):
+    """Style by folder, another client for one of them, tests left out by a rule."""
+    files = corpus(spark, d)
+    folder = F.regexp_extract("path", "^(src/p(?:kg)?[0-9]+)/", 1)
+    m = F.regexp_extract("path", "([0-9]+)(?:/__init__)?[.]py$", 1).cast("long")
+    chosen = files.select(F.concat_ws("#", folder, m % 7).alias("project")).distinct().select(
+        "project", F.when(F.col("project").endswith("#1"), "sphinx").alias("style"),
+        F.lit("ollama").alias("provider"), F.lit("m").alias("model"))
+    return annotate(
+        files, lambda provider, model, base_url: fenced_client(), only_missing=True, sleep=_no_sleep,
+        settings=chosen, project=F.concat_ws("#", folder, m % 7), exclude=["tests/"],
+    ).corpus.select("path", F.md5("source").alias("digest"))
+
+
 @query("e2_stats", oracle(f"""
     SELECT (SELECT count(*) FILTER (WHERE NOT broken) FROM files) AS files_processed,
         count(*) FILTER (WHERE NOT documented AND NOT stub AND NOT {FAIL} AND NOT {BAD}) AS added,

@@ -1,7 +1,13 @@
+import os
+import subprocess
+import sys
+from collections import Counter, defaultdict
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from annospark.operators import generate, prompts, runs, settings
+from annospark.operators import chunks, generate, prompts, runs, settings
 
 
 def scripted(outcomes, calls):
@@ -124,3 +130,147 @@ def test_error_lines_round_trip(spark):
     assert [(r.location, r.message) for r in got] == [("a.py:3", "LLM error: x - y"), ("b.py", "Parse error: bad")]
     odd = spark.createDataFrame([("no separator",)], "t string").select(runs.split_error(F.col("t")).alias("e"))
     assert tuple(odd.first().e) == ("", "no separator")
+
+
+def keyed(spark, prompts_):
+    df = spark.createDataFrame([(p,) for p in prompts_], "prompt string")
+    return df.withColumn("prompt_key", F.sha2("prompt", 256))
+
+
+def logging_client(log, fails=()):
+    def make(**route):
+        def call(prompt):
+            with open(log, "a") as handle:
+                handle.write(f"{route.get('provider')} {prompt}\n")
+            if prompt in fails:
+                raise generate.GenerationError("no", generate.AUTH)
+            return "to " + prompt
+
+        return call
+
+    return make
+
+
+def test_chunks_have_the_size_asked_for(spark, tmp_path):
+    log, path = str(tmp_path / "calls"), str(tmp_path / "answers")
+    df = keyed(spark, [f"p{i}" for i in range(103)] * 2)
+    out = chunks.answer_all(df, logging_client(log, {"p7"}), path, batch_size=10, tasks=3, sleep=no_sleep)
+    assert out.count() == 103 and sum(1 for _ in open(log)) == 103
+    sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) == 10 and sum(n < 10 for n in sizes) <= 3
+    again = chunks.answer_all(df, logging_client(log), path, batch_size=10, tasks=3, sleep=no_sleep)
+    assert sum(1 for _ in open(log)) == 104 and again.count() == 104  # the failed one is asked again
+    good = {r.prompt_key: r.status for r in chunks.best(again).collect()}
+    assert len(good) == 103 and set(good.values()) == {"ok"}
+    with pytest.raises(ValueError):
+        chunks.answer_all(df, logging_client(log), path, batch_size=0)
+
+
+def test_rows_keep_their_order_in_chunks_of_any_size():
+    batches = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 7), (7, 7), (7, 8), (8, 30))]
+    for size in (1, 3, 7, 8, 100):
+        parts = [list(c["x"]) for c in chunks._dealt(iter(batches), size)]
+        assert sum(parts, []) == list(range(30)) and all(len(p) == size for p in parts[:-1])
+
+
+KILLED = """
+import os, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from annospark.operators import chunks
+spark = (SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {folder!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate())
+spark.sparkContext.setLogLevel("OFF")
+
+def make():
+    from pyspark import TaskContext
+    context = TaskContext.get()
+    made = []
+    def call(prompt):
+        if context.attemptNumber() == 0 and len(made) == 35:  # three chunks of ten are kept by now
+            os._exit(1)
+        made.append(prompt)
+        with open({log!r}, "a") as handle:
+            handle.write(prompt + chr(10))
+        return "to " + prompt
+    return call
+
+df = spark.range(120).select(F.concat(F.lit("p"), "id").alias("prompt")).withColumn("prompt_key", F.sha2("prompt", 256))
+out = chunks.answer_all(df, make, {path!r}, batch_size=10, tasks=2)
+assert out.count() == 120 and out.select("prompt_key").distinct().count() == 120
+"""
+
+
+def test_a_killed_task_pays_for_no_kept_chunk_twice(tmp_path):
+    log, path = str(tmp_path / "calls"), str(tmp_path / "answers")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = KILLED.format(root=root, folder=str(tmp_path / "shared"), log=log, path=path)
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root)
+    calls = Counter(line.strip() for line in open(log))
+    assert len(calls) == 120 and set(calls.values()) == {1, 2}
+    twice = [p for p, n in calls.items() if n == 2]
+    assert len(twice) == 10  # the open chunk's first five calls, in each of the two tasks
+
+
+class Clock:
+    """A clock that only sleeping moves."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds
+
+
+def test_routes_errors_and_rates(spark, tmp_path):
+    log, path = str(tmp_path / "calls"), str(tmp_path / "answers")
+    given = [(f"p{i}", f"pr{i % 4}") for i in range(80)]
+    df = spark.createDataFrame(given, "prompt string, project string").withColumn("prompt_key", F.sha2("prompt", 256))
+    chosen = spark.createDataFrame(
+        [("pr0", "ollama", "m", None, False), ("pr1", "openai", "n", None, True), ("pr2", "openai", "n", None, False), ("pr3", "odd", None, None, True)],
+        "project string, provider string, model string, base_url string, has_key boolean",
+    )
+    clock = Clock()
+
+    def make(provider, model, base_url):
+        def call(prompt):
+            with open(log, "a") as handle:
+                handle.write(f"{provider} {clock()} {os.getpid()}\n")
+            return f"{provider} {model} {base_url}"
+
+        return call
+
+    routed = generate.route(df, chosen)
+    out = chunks.answer_all(routed, make, path, batch_size=7, tasks=2, sleep=clock.sleep, clock=clock,
+                            route=("provider", "model", "base_url"), rates={"openai": 4.0})
+    got = {r.prompt: r for r in out.join(df, "prompt_key").collect()}
+    assert len(got) == 80
+    assert got["p0"].answer == "ollama m http://localhost:11434" and got["p1"].answer == "openai n None"
+    assert (got["p2"].status, got["p2"].error, got["p2"].attempts) == ("auth", "openai API key is required", 0)
+    assert (got["p3"].status, got["p3"].error) == ("other", "Unsupported provider: odd")
+    calls = [line.split() for line in open(log)]
+    assert Counter(c[0] for c in calls) == {"ollama": 20, "openai": 20}
+    # each of the two tasks has a clock of its own and half the rate: two calls a second
+    times = defaultdict(list)
+    for provider, at, pid in calls:
+        if provider == "openai":
+            times[pid].append(float(at))
+    for at in times.values():
+        at = sorted(at)
+        starts = [i for i, t in enumerate(at) if i == 0 or t == 0]
+        for a, b in zip(at, at[1:]):
+            assert b - a >= 0.5 or b == a == 0 and len(starts) > 1
+
+
+def test_pace_holds_calls_apart():
+    clock = Clock()
+    pace = chunks.Pace(0.25, clock, clock.sleep)
+    seen = []
+    for work in [0.0, 0.0, 1.0, 0.1, 0.0]:
+        pace.wait()
+        seen.append(clock.now)
+        clock.now += work
+    assert seen == [0.0, 0.25, 0.5, 1.5, 1.75]

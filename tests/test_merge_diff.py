@@ -1,10 +1,14 @@
 import ast
 import difflib
+import io
 import random
 import textwrap
+import tokenize
+import warnings
 
 from pyspark.sql import functions as F
 
+from annospark.functions.text import quotable, quote
 from annospark.operators import diff, merge, scan
 from tests.test_scan import random_module
 
@@ -134,3 +138,36 @@ def test_row_and_keyless_diff(spark):
     assert got == {(1, "changed"), (4, "added")}
     got = {(r.k, r.v, r.sign, r.copies) for r in diff.keyless_diff(a, b).collect()}
     assert got == {(1, "x", "-", 1), (1, "y", "+", 1), (3, "z", "-", 1), (4, "w", "+", 1)}
+
+
+ODD = ['Say "hi"', 'in """ side', "back\\", "C:\\users\\x", "two\\\\", 'esc \\"', 'a "" b', "\\x4", "\\x41", "\\U0010FFFF", "\\U00110000", "\\N{DASH}", "\\q", "nul \x00", ""]
+
+
+def test_only_literals_that_python_reads_are_put_in(spark):
+    rng = random.Random(5)
+    texts = ODD + ["".join(rng.choice('"\\xuU0aN{}\n ') for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    literal = quote(F.col("t"))
+    for r in df.select("t", literal.alias("q"), quotable(literal).alias("ok")).collect():
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                fits = isinstance(ast.literal_eval(r.q), str)
+                strings = [t for t in tokenize.generate_tokens(io.StringIO(r.q).readline) if t.type == tokenize.STRING]
+                fits = fits and len(strings) == 1
+        except (SyntaxError, ValueError):
+            fits = False
+        assert fits == r.ok or not r.ok and "\\N" in r.t, r
+
+
+def test_a_docstring_that_breaks_the_file_is_an_error(spark, files):
+    df = files("def f():\n    return 1\n")
+    for text in ODD:
+        new = spark.createDataFrame([("f0.py", "f", None, text)], NEW)
+        row = merge.edits(merge.targets(scan.function_sites(df), new, by_name=True)).first()
+        after = merge.inject(df, new, by_name=True).first().source
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(after)
+        assert (row.outcome == "error") == (after == "def f():\n    return 1\n")
+        assert (row.error is None) == (row.outcome == "added")

@@ -105,6 +105,33 @@ def test_annotate_resume_and_dry_run(spark, files, tmp_path):
     assert (row.added, row.updated) == (0, 0)
 
 
+def test_annotate_looks_only_at_chosen_files(spark, tmp_path):
+    body = "def f(a):\n    return a\n"
+    rows = [(p, body) for p in ("src/a.py", "src/b.py", "src/c.txt", "lib/a.py", "lib/test_b.py", ".hid/a.py")]
+    df = spark.createDataFrame(rows, "path string, source string")
+    log = spark.createDataFrame([(p, "M", 1) for p, _ in rows if p != "src/b.py"], "path string, status string, ts int")
+    chosen = spark.createDataFrame([("src", "sphinx", "ollama", "small"), ("lib", None, "openai", "large")],
+                                   "project string, style string, provider string, model string")
+
+    def make(provider, model, base_url):
+        return lambda prompt: f"{provider} {model} {'Sphinx' in prompt}."
+
+    run = annotate(df, make, exclude=["test_*"], changes=log, settings=chosen, only_missing=True, batch_size=1)
+    got = {r.path: r.source for r in run.corpus.collect()}
+    new = {"src/a.py": "ollama small True.", "lib/a.py": "openai large False."}
+    assert got == {p: body.replace("    ret", f'    """{new[p]}"""\n    ret') if p in new else body for p, _ in rows}
+    assert tuple(run.stats.first()) == (2, 2, 0, 0)
+    keyless = annotate(df, make, settings=chosen.withColumn("has_key", F.lit(False)), extensions=[".py"])
+    assert sorted((r.path, r.message) for r in keyless.errors.collect()) == [
+        ("lib/a.py", "openai API key is required"), ("lib/test_b.py", "openai API key is required")]
+
+
+def test_counters_read_little(spark, files):
+    run = annotate(files(SAMPLE), lambda: lambda prompt: "Text.")
+    plan = run.stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and plan.count("Join") <= 1 and plan.count("FileScan") <= 2
+
+
 def test_ingest_tree(spark, tmp_path):
     for name, body in {
         "a.py": b"x = 1\n", "pkg/__init__.py": b"", "pkg/.dot.py": b"y = 1\n", "_private/b.py": b"\xff\xfe",
