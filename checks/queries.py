@@ -986,6 +986,44 @@ def d3(spark, d):
         F.array_join(F.slice(lines, 1, 2), "\n").alias("title"))
 
 
+@query("d2_between_versions", oracle(f"""
+    SELECT f.path, md5(f.source) AS before, md5(p.source) AS after, c.added, c.removed
+    FROM files f JOIN {patched_sql(True)} p USING (path) JOIN (
+        SELECT path, count(*) FILTER (WHERE k % 4 = 0) * 2 + count(*) FILTER (WHERE k % 4 <> 0) AS added,
+            CAST(coalesce(sum(doc_lines), 0) AS BIGINT) AS removed
+        FROM good WHERE k % 2 = 0 GROUP BY path) c USING (path)"""))
+def d2v(spark, d):
+    """Both texts put together again from the lines, and how many differ."""
+    old = corpus(spark, d)
+    new = merge.inject(old, new_docs(spark, d), overwrite=True, by_name=True)
+    lines = diff.line_rows(diff.compared(old, new))
+
+    def whole(sign: str) -> Column:
+        kept = F.collect_list(F.when(F.col("sign").isin(" ", sign), F.struct("line", "part", "text")))
+        joined = F.array_join(F.transform(F.array_sort(kept), lambda l: l["text"]), "\n")
+        return F.md5(F.concat(F.regexp_replace(joined, r"\n\\\\ No newline at end of file$", ""), F.lit("\n")))
+
+    return lines.groupBy("path").agg(
+        whole("-").alias("before"), whole("+").alias("after"),
+        F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"))
+
+
+@query("d3_between_versions", r"""
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, l[-1] = '' AS ended, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM d),
+    f AS (SELECT *, least(len(l), 3) AS c FROM e)
+    SELECT doc_id, '--- a/' || doc_id || chr(10) || '+++ b/' || doc_id || chr(10) || '@@ -'
+        || CASE c WHEN 0 THEN '0,0' WHEN 1 THEN '1' ELSE '1,' || c END || ' +'
+        || CASE c WHEN 0 THEN '1' ELSE '1,' || (c + 1) END || ' @@' || chr(10) || '+Heading' || chr(10)
+        || coalesce(list_aggregate([' ' || x || chr(10) FOR x IN l[:c]], 'string_agg', ''), '')
+        || CASE WHEN len(l) <= 3 AND NOT ended THEN '\ No newline at end of file' || chr(10) ELSE '' END AS diff
+    FROM f""")
+def d3v(spark, d):
+    old = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    new = old.withColumn("text", F.concat(F.lit("Heading\n"), "text"))
+    return diff.unified_texts(diff.compared(old, new, "doc_id", "text")).withColumnRenamed("path", "doc_id")
+
+
 def fenced_client():
     """Answers with a fixed docstring in fences; one function name always fails."""
 

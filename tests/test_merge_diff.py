@@ -3,11 +3,13 @@ import difflib
 import io
 import random
 import textwrap
+import time
 import tokenize
 import warnings
 
 from pyspark.sql import functions as F
 
+from annospark.functions.alignment import align
 from annospark.functions.text import quotable, quote
 from annospark.operators import diff, merge, scan
 from tests.test_scan import random_module
@@ -171,3 +173,98 @@ def test_a_docstring_that_breaks_the_file_is_an_error(spark, files):
             ast.parse(after)
         assert (row.outcome == "error") == (after == "def f():\n    return 1\n")
         assert (row.error is None) == (row.outcome == "added")
+
+
+def lines_of(rng, letters, n):
+    return [rng.choice(letters) for _ in range(rng.randrange(n))]
+
+
+def test_alignment_of_random_lines():
+    rng = random.Random(1)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abcdefgh", [str(i) for i in range(60)]])
+        a = lines_of(rng, letters, 25)
+        b = lines_of(rng, letters, 25) if rng.random() < 0.3 else [x for x in a if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(letters))
+        out, at, there = [], 0, 0
+        for i, j, k, m in align(a, b):
+            assert a[at:i] == b[there:k] and (i < j or k < m) and (i, k) != (at, there) or (i, k) == (0, 0)
+            assert not set(a[i:j]) & set(b[k:m])  # no common line is left in a block
+            out += a[at:i] + b[k:m]
+            at, there = j, m
+        assert out + a[at:] == b and a[at:] == b[there:]
+
+
+def test_alignment_of_long_texts_is_quick_and_small():
+    rng = random.Random(2)
+    a = [rng.randrange(1 << 40) for _ in range(200_000)]
+    b = list(a)
+    for _ in range(500):
+        b[rng.randrange(len(b))] = rng.randrange(1 << 40)
+    start = time.perf_counter()
+    assert sum(j - i for i, j, _, _ in align(a, b)) <= 500
+    assert time.perf_counter() - start < 10
+    same = [1, 2] * 50_000
+    assert align(same, same[2:]) == [(99_998, 100_000, 99_998, 99_998)] or len(align(same, same[2:])) == 1
+
+
+def reversed_diff(text):
+    turn = {"+": "-", "-": "+"}
+    out = []
+    for line in text.split("\n"):
+        if line.startswith("@@"):
+            _, old, new, _ = line.split(" ")
+            line = f"@@ -{new[1:]} +{old[1:]} @@"
+        elif line[:1] in turn and line[:4] not in ("--- ", "+++ "):
+            line = turn[line[0]] + line[1:]
+        out.append(line)
+    return "\n".join(out)
+
+
+def test_two_versions_both_ways(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in range(400):
+        letters = rng.choice(["ab", "abcdefgh", [f"line {i}" for i in range(80)]])
+        a = lines_of(rng, letters, 60)
+        b = [x for x in a if rng.random() < 0.9]
+        for _ in range(rng.randrange(5)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(letters))
+        rows.append((f"f{n}", "".join(x + "\n" for x in a), "".join(x + "\n" for x in b)))
+    df = spark.createDataFrame(rows, "path string, a string, b string")
+    changed = diff.compared(df.selectExpr("path", "a AS source"), df.selectExpr("path", "b AS source"))
+    texts = {r.path: r["diff"] for r in diff.unified_texts(changed).collect()}
+    lines = {}
+    for r in diff.line_rows(changed).collect():
+        lines.setdefault(r.path, []).append((r.line, r.part, r.sign, r.text))
+    for path, a, b in rows:
+        if a == b:
+            assert path not in texts and path not in lines
+            continue
+        assert apply_diff(a, texts[path]) == b
+        assert apply_diff(b, reversed_diff(texts[path])) == a
+        got = sorted(lines[path])
+        assert "".join(x[3] + "\n" for x in got if x[2] != "+") == a
+        assert "".join(x[3] + "\n" for x in got if x[2] != "-") == b
+        # hunks and their headers are difflib's wherever it aligns the same lines
+        want = "".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), f"a/{path}", f"b/{path}"))
+        if sorted(want.split("\n")) == sorted(texts[path].split("\n")) and "ab" not in a:
+            assert len(want) == len(texts[path])
+
+
+def test_versions_of_any_kind(spark):
+    old = [("same", "x\n"), ("gone", "a\nb\n"), ("end", "a\nb"), ("null", None), ("empty", ""), ("crlf", "a\r\nb\r\n"), ("both", "p\nq")]
+    new = [("same", "x\n"), ("new", "c\n"), ("end", "a\nb\n"), ("null", "n\n"), ("empty", "e\n"), ("crlf", "a\nb\n"), ("both", "r\nq")]
+    make = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], "path string, source string, lines int")
+    got = {r.path: r["diff"] for r in diff.unified_texts(diff.compared(make(old), make(new))).collect()}
+    head = "--- a/{0}\n+++ b/{0}\n".format
+    assert got == {
+        "gone": head("gone") + "@@ -1,2 +0,0 @@\n-a\n-b\n",
+        "new": head("new") + "@@ -0,0 +1 @@\n+c\n",
+        "null": head("null") + "@@ -0,0 +1 @@\n+n\n",
+        "empty": head("empty") + "@@ -0,0 +1 @@\n+e\n",
+        "end": head("end") + "@@ -1,2 +1,2 @@\n a\n-b\n\\ No newline at end of file\n+b\n",
+        "both": head("both") + "@@ -1,2 +1,2 @@\n-p\n+r\n q\n\\ No newline at end of file\n",
+    }
+    assert diff.compared(make(old).limit(0), make(new).limit(0)).count() == 0
