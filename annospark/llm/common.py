@@ -69,3 +69,29 @@ def ranked(df: DataFrame, by: list[str], name: str, weight: str | None = None) -
         out = out.withColumn("before", F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         out = out.drop("_start")
     return out.drop("_part", "_at", "_first")
+
+
+#: Marks of ``marks``, and of one row of it: 4 MB of bits in rows of 4 KB, whatever is marked.
+MARKS, ROW_MARKS = 1 << 25, 1 << 15
+
+
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """A table of bits, of fixed size, with one set for the hash of each value of ``key``."""
+    slot = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    rows = keys.filter(F.col(key).isNotNull()).select(slot.alias("slot"))
+    place = F.expr(f"bitmap_construct_agg(slot % {ROW_MARKS})").alias("_bits")
+    return stored(rows.groupBy(F.floor(F.col("slot") / ROW_MARKS).alias("_row")).agg(place), "marks")
+
+
+def struck(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``df`` with ``_struck``: may ``key`` be among those marked?  Never false for one that is.
+
+    A null key is not among them.  The table is sent to all tasks: its size is a constant.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    rows = df.withColumn("_slot", slot).withColumn("_row", F.floor(F.col("_slot") / ROW_MARKS))
+    place = (F.col("_slot") % ROW_MARKS).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2
+    hit = F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))
+    return rows.join(F.broadcast(table), "_row", "left").withColumn("_struck", hit).drop("_slot", "_row", "_bits")

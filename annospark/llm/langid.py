@@ -34,6 +34,8 @@ MAX_NODES = 400_000
 #: Most languages that are learned, those of most labelled documents first.
 MAX_LANGUAGES = 200
 KEPT_WORDS = 300_000
+#: Posterior from which a prediction contradicts a label.
+SURE = 0.999
 UNKNOWN = "und"
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -218,13 +220,17 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     return base.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` without the texts that have no language: no letter, or coded at 8 bits a byte or more.
+def accepted(docs: DataFrame, trees: Trees, lang_col: str = "lang", sure: float = SURE) -> DataFrame:
+    """``docs`` without the texts that have no language, or surely another one than they are said to have.
 
-    8 bits is what a byte costs without any model, so nothing learned speaks for the text.
+    No language: no letter, or coded at 8 bits a byte or more, which is what a byte costs without any
+    model.  Another one: the posterior of a language that is not the document's own is ``sure`` or
+    more.  A null label, or one that was not learned, contradicts nothing; nor does a missing column.
     """
-    found = identify(docs, trees)
-    return found.filter(F.col("bits_per_byte") < 8).select(*docs.columns)
+    found = identify(docs.withColumn("_said", F.col(lang_col) if lang_col in docs.columns else F.lit(None)), trees)
+    said = F.col("_said").isin(*trees.langs) if trees.langs else F.lit(False)
+    other = F.coalesce(said & (F.col("_said") != F.col("lang_pred")) & (F.col("score") >= sure), F.lit(False))
+    return found.filter((F.col("bits_per_byte") < 8) & ~other).select(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ SHORTEST, LONGEST = 2, 4
 #: Grams of one length in the dictionary, at most, and occurrences of each, at least.
 DICTIONARY, FREQUENT = 1 << 16, 64
 #: Words of a list that are compared with one another.
-LIST = 256
+LIST = 96
 LETTERS, TIMES, RATIO = 7, 2, 10
 START, END = "^", "$"
 
