@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.llm.common import read
+from annospark.llm.common import held, read
 
 NONE = 1 << 200
 #: Words whose tokens a task keeps; it starts anew when that many are known.
@@ -126,17 +126,17 @@ class Bpe:
         self.last = [vocab.get(s + end) for s in symbols]
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.known: dict[str, tuple[str, str]] = {}
+        self.shown = {str(i): t for i, t in self.token.items()}
+        self.known: dict[str, str] = {}
 
     def word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
         ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
         return merge([i for i in ids if i is not None], self.pairs)
 
-    def strings(self, word: str) -> tuple[str, str]:
-        """The ids of a word and its tokens, each joined by spaces; short words are kept."""
-        ids = self.word(word)
-        made = " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+    def spelled(self, word: str) -> str:
+        """The ids of a word, joined by spaces; those of short words are kept."""
+        made = " ".join(map(str, self.word(word)))
         if len(word) <= 40:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
@@ -150,25 +150,27 @@ class Bpe:
         except UnicodeEncodeError:
             return WORDS.findall(lowered(unicodedata.normalize("NFC", text)))
 
-    def encoded(self, text: str | None) -> tuple[str, str]:
-        """Ids and tokens of a text, each joined by one space."""
-        known, strings, ids, tokens = self.known, self.strings, [], []
+    def encoded(self, text: str | None) -> str:
+        """Ids of a text, joined by one space."""
+        known, spelled, ids = self.known, self.spelled, []
         parts = self.cut.split(text or "") if self.cut and "<|" in (text or "") else [text or ""]
         for k, part in enumerate(parts):
             if k % 2:
-                found = [(str(self.special[part]), part)]
+                ids.append(str(self.special[part]))
             else:
-                found = [known.get(w) or strings(w) for w in self.words(part)]
-            ids += [x for x, _ in found if x]
-            tokens += [y for x, y in found if x]
-        return " ".join(ids), " ".join(tokens)
+                ids += [known.get(w) or spelled(w) for w in self.words(part)]
+        return " ".join(filter(None, ids))
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.encoded(text)[0].split()]
+        return [int(x) for x in self.encoded(text).split()]
+
+    def decoded(self, ids: str) -> str:
+        """The tokens of ids joined by spaces, one space between, as the vocabulary names no other decoder."""
+        shown = self.shown
+        return " ".join([shown[i] for i in ids.split() if i in shown])
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens, one space between, as the vocabulary names no other decoder."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        return self.decoded(" ".join(map(str, ids)))
 
 
 def vocabulary_path() -> str:
@@ -177,15 +179,10 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-_MADE: dict[str, Bpe] = {}
-
-
 def tokenizer(path: str | None) -> Bpe:
     """One for each worker process; without a path, the one of the worker's installation."""
     path = path or vocabulary_path()
-    if path not in _MADE:
-        _MADE[path] = Bpe(path)
-    return _MADE[path]
+    return held(path, lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,10 +227,10 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for x in batch.column(1):
-                ids, text = bpe.encoded(x.as_py())
+                ids = bpe.encoded(x.as_py())
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(digest(ids))
-                text_sha.append(digest(text))
+                text_sha.append(digest(bpe.decoded(ids)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

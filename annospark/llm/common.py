@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+T = TypeVar("T")
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -71,27 +75,37 @@ def ranked(df: DataFrame, by: list[str], name: str, weight: str | None = None) -
     return out.drop("_part", "_at", "_first")
 
 
-#: Marks of ``marks``, and of one row of it: 4 MB of bits in rows of 4 KB, whatever is marked.
-MARKS, ROW_MARKS = 1 << 25, 1 << 15
+#: Marks of ``marks``: 4 MB of bits, in words of 64, whatever is marked.
+MARKS = 1 << 25
 
 
 def marks(keys: DataFrame, key: str) -> DataFrame:
-    """A table of bits, of fixed size, with one set for the hash of each value of ``key``."""
-    slot = F.pmod(F.xxhash64(key), F.lit(MARKS))
-    rows = keys.filter(F.col(key).isNotNull()).select(slot.alias("slot"))
-    place = F.expr(f"bitmap_construct_agg(slot % {ROW_MARKS})").alias("_bits")
-    return stored(rows.groupBy(F.floor(F.col("slot") / ROW_MARKS).alias("_row")).agg(place), "marks")
+    """A table of bits, of bounded size, with one set for the hash of each value of ``key``."""
+    rows = keys.filter(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    return stored(rows.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("_row")).agg(F.bit_or(bit).alias("_bits")), "marks")
 
 
 def struck(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """``df`` with ``_struck``: may ``key`` be among those marked?  Never false for one that is.
 
-    A null key is not among them.  The table is sent to all tasks: its size is a constant.
+    A null key is not among them.  The table is sent to all tasks: half a million rows at most.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(MARKS))
-    rows = df.withColumn("_slot", slot).withColumn("_row", F.floor(F.col("_slot") / ROW_MARKS))
-    place = (F.col("_slot") % ROW_MARKS).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2
+    rows = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(MARKS))).withColumn("_row", F.floor(F.col("_slot") / 64).cast("int"))
+    bit = F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1")
     hit = F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))
     return rows.join(F.broadcast(table), "_row", "left").withColumn("_struck", hit).drop("_slot", "_row", "_bits")
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """The model ``name`` of this worker process, made when first asked for.
+
+    A worker that serves one operator after another holds the latest model only.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]

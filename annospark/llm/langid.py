@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from annospark.llm.common import crc_mod, read
+from annospark.llm.common import crc_mod, held, read
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -34,8 +34,8 @@ MAX_NODES = 400_000
 #: Most languages that are learned, those of most labelled documents first.
 MAX_LANGUAGES = 200
 KEPT_WORDS = 300_000
-#: Posterior from which a prediction contradicts a label.
-SURE = 0.999
+#: Posterior, and letters of a text, from which a prediction contradicts a label.
+SURE, LETTERS = 0.999, 100
 UNKNOWN = "und"
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -186,9 +186,6 @@ def decide(coder: Coder, text: str | None) -> tuple[str, float, float | None]:
     return coder.trees.langs[best], float(1.0 / np.exp2(-apart).sum()), float(bits[best] / size)
 
 
-_MADE: dict[str, Coder] = {}
-
-
 def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and bits_per_byte of each whole text.
 
@@ -202,12 +199,9 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = shared.value.name
-        if name not in _MADE:
-            _MADE.clear()
-            _MADE[name] = Coder(shared.value)
+        coder = held(shared.value.name, lambda: Coder(shared.value))
         for batch in batches:
-            found = [decide(_MADE[name], x.as_py()) for x in batch.column(at)]
+            found = [decide(coder, x.as_py()) for x in batch.column(at)]
             lang, score, bits = ([f[k] for f in found] for k in range(3))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
@@ -220,16 +214,17 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     return base.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, trees: Trees, lang_col: str = "lang", sure: float = SURE) -> DataFrame:
+def accepted(docs: DataFrame, trees: Trees, text_col: str = "text", lang_col: str = "lang", sure: float = SURE) -> DataFrame:
     """``docs`` without the texts that have no language, or surely another one than they are said to have.
 
     No language: no letter, or coded at 8 bits a byte or more, which is what a byte costs without any
     model.  Another one: the posterior of a language that is not the document's own is ``sure`` or
-    more.  A null label, or one that was not learned, contradicts nothing; nor does a missing column.
+    more, over ``LETTERS`` letters at least.  A null label, or one that was not learned, contradicts nothing; nor does a missing column.
     """
-    found = identify(docs.withColumn("_said", F.col(lang_col) if lang_col in docs.columns else F.lit(None)), trees)
+    found = identify(docs.withColumn("_said", F.col(lang_col) if lang_col in docs.columns else F.lit(None)), trees, text_col)
     said = F.col("_said").isin(*trees.langs) if trees.langs else F.lit(False)
-    other = F.coalesce(said & (F.col("_said") != F.col("lang_pred")) & (F.col("score") >= sure), F.lit(False))
+    other = said & (F.col("_said") != F.col("lang_pred")) & (F.col("score") >= sure)
+    other = F.coalesce(other & (F.length(F.regexp_replace(F.col(text_col), r"\P{L}+", "")) >= LETTERS), F.lit(False))
     return found.filter((F.col("bits_per_byte") < 8) & ~other).select(*docs.columns)
 
 

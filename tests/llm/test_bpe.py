@@ -22,7 +22,8 @@ def both():
 def agree(both, text):
     mine, theirs = both
     want = theirs.encode(text or "", add_special_tokens=False).ids
-    ids, decoded = mine.encoded(text)
+    ids = mine.encoded(text)
+    decoded = mine.decoded(ids)
     assert mine.ids(text) == want, text
     assert decoded == mine.decode(want) == theirs.decode(want, skip_special_tokens=False)
     assert ids == " ".join(map(str, want))
@@ -56,10 +57,11 @@ def test_tables(spark):
     assert back[1] == "hello</w> there</w>" and back[4] == ""
 
 
-def test_query_equals_library(spark, both):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_query_equals_library(spark, both, size):
     from annospark.llm.common import read
 
-    sf = "/root/testdata/sf0.001"
+    sf = f"/root/testdata/{size}"
     want = {}
     for r in read(spark, sf, "documents").collect():
         ids = both[1].encode(r.text or "", add_special_tokens=False).ids

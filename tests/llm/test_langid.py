@@ -73,7 +73,7 @@ def test_a_text_in_another_language_than_it_says_is_rejected(spark):
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
     trees = langid.train(docs.filter(crc_mod("doc_id", 5) != 0))
     one = {r.lang: r.text for r in docs.filter("length(text) > 400").collect()}
-    rows = [(1, one["fr"], "en"), (2, one["fr"], "fr"), (3, one["fr"], None), (4, one["fr"], "xx"), (5, "ok", "fr"), (6, one["en"], "de")]
+    rows = [(1, one["fr"], "en"), (2, one["fr"], "fr"), (3, one["fr"], None), (4, one["fr"], "xx"), (5, "on y va, ok", "en"), (6, one["en"], "de")]
     planted = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.accepted(planted, trees).collect()) == [2, 3, 4, 5]
     assert langid.accepted(planted.drop("lang"), trees).count() == 6
