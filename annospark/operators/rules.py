@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,19 +33,14 @@ def _clean(patterns: Sequence[str]) -> list[str]:
     return [p for p in patterns if not re.match(NO_RULE, p, re.ASCII)]
 
 
-def excluded(path: Column, patterns: Sequence[str]) -> Column:
-    """True when ordered patterns exclude a path relative to the base.
-
-    The last matching pattern decides, and a folder that is excluded takes along
-    all below it.  Runs of same-sign patterns become one regex each, folded to a
-    constant before the job starts.
-    """
+def _verdict(patterns: Sequence[str]) -> tuple[Callable[[Column], Column] | None, bool]:
+    """What the last matching pattern says of one path, and whether any pattern is negated."""
     runs = [
         (negated, F.concat_ws("|", *[rule_regex(F.lit(p)) for p in group]))
         for negated, group in groupby(_clean(patterns), key=lambda p: p.startswith("!"))
     ]
     if not runs:
-        return F.lit(False)
+        return None, False
 
     def verdict(p: Column) -> Column:
         (negated, regex), *earlier = reversed(runs)
@@ -54,9 +49,28 @@ def excluded(path: Column, patterns: Sequence[str]) -> Column:
             result = result.when(F.rlike(p, regex), not negated)
         return result.otherwise(False)
 
-    if any(negated for negated, _ in runs):
-        return F.exists(with_parents(path), verdict)
-    return verdict(path)
+    return verdict, any(negated for negated, _ in runs)
+
+
+def excluded(path: Column, patterns: Sequence[str]) -> Column:
+    """True when ordered patterns exclude a path relative to the base.
+
+    The last matching pattern decides, and a folder that is excluded takes along
+    all below it.  Runs of same-sign patterns become one regex each, folded to a
+    constant before the job starts.
+    """
+    verdict, negated = _verdict(patterns)
+    if verdict is None:
+        return F.lit(False)
+    return F.exists(with_parents(path), verdict) if negated else verdict(path)
+
+
+def excluded_folder(path: Column, patterns: Sequence[str]) -> Column:
+    """True when ordered patterns exclude a folder, and so all below it; its parents are known not to be."""
+    verdict, _ = _verdict(patterns)
+    if verdict is None:
+        return F.lit(False)
+    return verdict(path) | verdict(F.concat(path, F.lit("/")))
 
 
 def apply_rules(

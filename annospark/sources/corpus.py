@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from annospark import schemas
+from annospark.operators import rules
 from annospark.sources.shared import shared_folder
 
 _ENTRY = T.StructType(
@@ -16,6 +17,7 @@ _ENTRY = T.StructType(
         T.StructField("path", T.StringType(), False),
         T.StructField("is_dir", T.BooleanType(), False),
         T.StructField("size", T.LongType(), False),
+        T.StructField("parent", T.StringType()),
     ]
 )
 _CONTENT = T.StructType(
@@ -77,6 +79,7 @@ def _lister(root: str, prefix: str):
                         "path": [prefix + f.path for f in found],
                         "is_dir": [f.type == fs.FileType.Directory for f in found],
                         "size": [f.size or 0 for f in found],
+                        "parent": folder,
                     }
                 )
 
@@ -105,46 +108,88 @@ def _reader(root: str, prefix: str):
     return read_files
 
 
-def list_tree(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
-    """``path, size`` of the files below ``root`` with one of the extensions.
+def ignore_patterns(root: str, name: str) -> list[str]:
+    """Lines of the ignore file ``name`` of a folder; none where there is no such file."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(root.rstrip("/") or "/")
+    place = f"{inner.rstrip('/')}/{name}"
+    if store.get_file_info(place).type != fs.FileType.File:
+        return []
+    with store.open_input_stream(place, compression=None) as stream:
+        return stream.read().decode("utf-8", "replace").splitlines()
+
+
+def walked(
+    spark: SparkSession, root: str, exclude: Sequence[str] = (), ignore: Sequence[str] = ()
+) -> DataFrame:
+    """``path, is_dir, size, parent`` of all that is found below the folder ``root``.
 
     Spark's own file sources skip names that start with ``_`` or ``.``, so packages'
     ``__init__.py`` files would be lost.  Folders are listed level by level as a
     Spark job each; a level is kept as a table in the shared folder, so a lost
-    executor repeats at most one level.  Folders starting with a dot are not entered.
+    executor repeats at most one level.  Folders that start with a dot, and those that a rule list
+    excludes, stand in the result but are not entered: nothing below them is listed.
     """
-    from pyarrow import fs
-
-    empty = spark.createDataFrame([], _ENTRY)
-    root = root.rstrip("/") or "/"
-    store, inner = fs.FileSystem.from_uri(root)
-    info = store.get_file_info(inner)
-    if info.type == fs.FileType.NotFound:
-        return empty.select("path", "size")
-    if info.type == fs.FileType.File:
-        one = spark.createDataFrame([(root, False, info.size or 0)], _ENTRY)
-        return by_extension(one, extensions).select("path", "size")
-
     table, prefix = shared_folder(spark, "listing"), _prefix(root)
-    frontier = spark.createDataFrame([(root, True, 0)], _ENTRY)
+    frontier = spark.createDataFrame([(root, True, 0, None)], _ENTRY)
+    inside = F.substring("path", len(root.rstrip("/")) + 2, 2**31 - 1)
     level = 0
     while True:
         here = f"{table}/level={level}"
         frontier.select("path").mapInPandas(_lister(root, prefix), _ENTRY).write.parquet(here)
-        hidden = F.regexp_extract("path", r"[^/]*$", 0).startswith(".")
-        folders = spark.read.schema(_ENTRY).parquet(here).where(F.col("is_dir") & ~hidden)
+        closed = F.regexp_extract("path", r"[^/]*$", 0).startswith(".")
+        for patterns in (exclude, ignore):
+            closed = closed | rules.excluded_folder(inside, patterns)
+        folders = spark.read.schema(_ENTRY).parquet(here).where(F.col("is_dir") & ~closed)
         if folders.isEmpty():
             break
         frontier = folders.repartition(spark.sparkContext.defaultParallelism, "path")
         level += 1
-    files = spark.read.schema(_ENTRY).parquet(*[f"{table}/level={n}" for n in range(level + 1)])
-    return by_extension(files.where(~F.col("is_dir")), extensions).select("path", "size")
+    return spark.read.schema(_ENTRY).parquet(*[f"{table}/level={n}" for n in range(level + 1)])
+
+
+def list_tree(
+    spark: SparkSession,
+    root: str,
+    extensions: Sequence[str],
+    exclude: Sequence[str] = (),
+    ignore_file: str | None = None,
+) -> DataFrame:
+    """``path, size`` of the files below ``root`` with one of the extensions.
 
+    ``exclude`` and the lines of the root's own ``ignore_file`` are rule lists relative to
+    the root; what either excludes is left out, and folders they exclude are never listed.  A
+    ``root`` that is a file is taken whatever the rules, one that is absent gives no rows.
+    """
+    from pyarrow import fs
 
-def ingest_binary(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
+    empty = spark.createDataFrame([], _ENTRY)
+    root = root.rstrip("/") or "/"
+    store, inner = fs.FileSystem.from_uri(root)
+    info = store.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        return empty.select("path", "size")
+    if info.type == fs.FileType.File:
+        one = spark.createDataFrame([(root, False, info.size or 0, None)], _ENTRY)
+        return by_extension(one, extensions).select("path", "size")
+    ignore = ignore_patterns(root, ignore_file) if ignore_file else []
+    files = by_extension(walked(spark, root, exclude, ignore).where(~F.col("is_dir")), extensions)
+    inside = F.substring("path", len(root.rstrip("/")) + 2, 2**31 - 1)
+    gone = rules.excluded(inside, exclude) | rules.excluded(inside, ignore)
+    return files.where(~gone).select("path", "size")
+
+
+def ingest_binary(
+    spark: SparkSession,
+    root: str,
+    extensions: Sequence[str],
+    exclude: Sequence[str] = (),
+    ignore_file: str | None = None,
+) -> DataFrame:
     """``path, content`` of the files below ``root`` (a folder or one file)."""
     root = root.rstrip("/") or "/"
-    listed = list_tree(spark, root, extensions)
+    listed = list_tree(spark, root, extensions, exclude, ignore_file)
     total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / READ_TASK_BYTES))
     # An explicit count: the listing is tiny, so AQE would merge it into one reader.
@@ -153,12 +198,17 @@ def ingest_binary(spark: SparkSession, root: str, extensions: Sequence[str]) ->
 
 
 def ingest_tree(
-    spark: SparkSession, root: str, extensions: Sequence[str] = (".py",)
+    spark: SparkSession,
+    root: str,
+    extensions: Sequence[str] = (".py",),
+    exclude: Sequence[str] = (),
+    ignore_file: str | None = None,
 ) -> DataFrame:
     """Corpus table of a folder tree or a single file.
 
-    A file that is not UTF-8 keeps its row with a null ``source``; scanning reports
-    it as an error.
+    Rules apply while folders are listed, as in ``list_tree``.  A file that is not UTF-8 keeps its
+    row with a null ``source``; scanning reports it as an error.
     """
     text = F.expr("try_validate_utf8(cast(content as string))")
-    return ingest_binary(spark, root, extensions).select("path", text.alias("source"))
+    found = ingest_binary(spark, root, extensions, exclude, ignore_file)
+    return found.select("path", text.alias("source"))

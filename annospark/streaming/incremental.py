@@ -2,12 +2,17 @@
 
 A micro-batch scans only the files it brings and appends their counts, one small row
 per file, under a folder named after the batch; a removed file leaves a row without counts.
-Replaying a batch writes the same folder again.  The current state is the newest row per path; no batch rewrites what
-earlier batches wrote, and source text is never part of the state.
+Replaying a batch writes the same folder again.  The current state is the newest row per path, and
+source text is never part of it.
+
+After ``COMPACT`` batches the newest rows of all of them become one base table.  A small file names
+the base in use and is replaced in one move, so a reader sees the state before or after.  What
+the base before it made obsolete is removed only then, so a reader that has just looked finds its files.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -26,6 +31,11 @@ STATE = T.StructType(
 )
 
 
+#: Batches between two base tables.
+COMPACT = 16
+POINTER = "_current"
+
+
 def file_counts(files: DataFrame) -> DataFrame:
     """``path, group, readable, total, documented`` per file; null group.
 
@@ -55,6 +65,7 @@ def incremental_coverage(
     checkpoint: str,
     counts: Callable[[DataFrame], DataFrame] = file_counts,
     order: Sequence[str] = (),
+    compact: int = COMPACT,
 ):
     """Start a query that takes in all rows available now and then ends.
 
@@ -64,8 +75,14 @@ def incremental_coverage(
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        base = _base(state_path)
+        if batch_id <= base:  # a replay of a batch that the base holds already
+            return
         rows = counts(newest(batch, *order) if order else batch).select("path", "group", "readable", "total", "documented")
         rows.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        if len(_batches(state_path, base)) >= compact:
+            compact_state(spark, state_path)
 
     return (
         stream.writeStream.foreachBatch(take)
@@ -75,9 +92,66 @@ def incremental_coverage(
     )
 
 
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _base(state_path: str) -> int:
+    """Last batch that the base in use holds; -1 without one."""
+    from pyarrow import fs
+
+    store, inner = _store(state_path)
+    if store.get_file_info(f"{inner}/{POINTER}").type != fs.FileType.File:
+        return -1
+    with store.open_input_stream(f"{inner}/{POINTER}") as stream:
+        return int(stream.read())
+
+
+def _batches(state_path: str, base: int) -> list[int]:
+    """Numbers of the batches after ``base``."""
+    from pyarrow import fs
+
+    store, inner = _store(state_path)
+    names = [f.base_name for f in store.get_file_info(fs.FileSelector(inner, allow_not_found=True))]
+    return sorted(n for n in (int(x[6:]) for x in names if x.startswith("batch=")) if n > base)
+
+
+def compact_state(spark: SparkSession, state_path: str) -> None:
+    """Put the newest rows of all batches into a base table and use it from then on."""
+    from pyarrow import fs
+
+    before = _base(state_path)
+    batches = _batches(state_path, before)
+    if not batches:
+        return
+    upto = batches[-1]
+    rows = current_state(spark, state_path).withColumn("batch", F.lit(upto).cast("long"))
+    rows.select(*STATE.names).write.mode("overwrite").parquet(f"{state_path}/base/{upto}")
+    store, inner = _store(state_path)
+    part = f"{inner}/{POINTER}-{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(str(upto).encode())
+    store.move(part, f"{inner}/{POINTER}")
+    # the base before, and its batches, stay for readers that still use them
+    for entry in store.get_file_info(fs.FileSelector(f"{inner}/base", allow_not_found=True)):
+        if int(entry.base_name) < before:
+            store.delete_dir(entry.path)
+    for n in _batches(state_path, -1):
+        if n <= before:
+            store.delete_dir(f"{inner}/batch={n}")
+
+
 def current_state(spark: SparkSession, state_path: str) -> DataFrame:
     """Newest row per path, without the removed ones."""
-    rows = spark.read.schema(STATE).parquet(state_path)
+    base = _base(state_path)
+    paths = [f"{state_path}/batch={n}" for n in _batches(state_path, base)]
+    rows = spark.createDataFrame([], STATE)
+    if base >= 0:
+        rows = rows.unionByName(spark.read.schema(STATE).parquet(f"{state_path}/base/{base}"))
+    if paths:
+        rows = rows.unionByName(spark.read.schema(STATE).option("basePath", state_path).parquet(*paths))
     newest = F.max_by(F.struct("group", "readable", "total", "documented"), "batch").alias("s")
     return rows.groupBy("path").agg(newest).select("path", "s.*").where("total is not null")
 

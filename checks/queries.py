@@ -79,6 +79,61 @@ def s3(spark, d):
         F.octet_length("content").alias("bytes"))
 
 
+def document_tree(spark, d) -> str:
+    """A folder with one file per document, some in a hidden folder, and an ignore file."""
+    from pyarrow import fs
+
+    root = shared_folder(spark, "tree")
+
+    def write(batches):
+        store, inner = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for place, text in zip(batch["place"], batch["text"]):
+                store.create_dir(f"{inner}/{place.rsplit('/', 1)[0]}", recursive=True)
+                with store.open_output_stream(f"{inner}/{place}", compression=None) as out:
+                    out.write(text.encode())
+            yield batch[["place"]].iloc[:0]
+
+    place = F.concat_ws("/", F.when(F.col("doc_id") % 10 == 0, ".hid").otherwise("open"), "lang", "source",
+                        F.concat(F.lit("_"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")))
+    docs = table(spark, d, "documents").where("text is not null").select(place.alias("place"), "text")
+    docs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(write, "place string").write.format("noop").mode("overwrite").save()
+    store, inner = fs.FileSystem.from_uri(root)
+    store.create_dir(inner, recursive=True)
+    with store.open_output_stream(f"{inner}/.rules") as out:
+        out.write(b"# languages\n/open/d?/\n\nsrc1*\n!src11\n*1.txt\n")
+    return root
+
+
+def tree_rows(found: DataFrame, root: str) -> DataFrame:
+    return found.select(F.substring("path", len(root) + 2, 2**31 - 1).alias("place"), F.md5("source").alias("digest"))
+
+
+TREE_SQL = """(SELECT 'open/' || lang || '/' || source || '/_' || doc_id
+        || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS place, md5(text) AS digest, *
+    FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 0)"""
+
+
+@query("s2_ingest_with_rules", f"""
+    SELECT place, digest FROM {TREE_SQL}
+    WHERE lang NOT LIKE 'd_' AND (source NOT LIKE 'src1%' OR source = 'src11') AND source <> 'src3'
+        AND doc_id % 3 <> 0 AND doc_id % 10 <> 1""")
+def s2r(spark, d):
+    root = document_tree(spark, d)
+    return tree_rows(corpora.ingest_tree(spark, root, [".txt"], exclude=["src3/"], ignore_file=".rules"), root)
+
+
+@query("s3_single_path", f"SELECT place, digest FROM {TREE_SQL} WHERE lang LIKE 'd_' QUALIFY row_number() OVER (ORDER BY doc_id) = 1")
+def s3p(spark, d):
+    """A file that rules would exclude is taken when it is named itself."""
+    root = document_tree(spark, d)
+    docs = table(spark, d, "documents").where("text is not null and doc_id % 10 <> 0 and lang like 'd_'")
+    first = docs.select(F.min(F.struct("doc_id", "lang", "source")).alias("r")).select("r.*").first()
+    name = f"open/{first.lang}/{first.source}/_{first.doc_id}{'.md' if first.doc_id % 3 == 0 else '.txt'}"
+    found = corpora.ingest_tree(spark, f"{root}/{name}", [".md", ".txt"], exclude=["*"], ignore_file=".rules")
+    return tree_rows(found, root)
+
+
 CHANGE_STATUS = {"signup": "A", "purchase": "C", "click": "M", "error": "D", "view": "R"}
 STATUS_SQL = "CASE event_type " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in CHANGE_STATUS.items()) + " END"
@@ -1232,3 +1287,35 @@ def t1(spark, d):
     state, checkpoint = shared_folder(spark, "state"), shared_folder(spark, "stream")
     incremental.incremental_coverage(stream, state, checkpoint, per_document).awaitTermination()
     return incremental.current_coverage(spark, state, by_group=True)
+
+
+@query("t1_changes_and_deletes", """
+    WITH l AS (SELECT doc_id, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id)
+    SELECT lang AS "group", count(*) AS total, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS documented,
+        CAST(0 AS BIGINT) AS skipped_files,
+        count(*) FILTER (WHERE l.doc_id IS NOT NULL) / count(*) * 100 AS coverage_pct
+    FROM documents d LEFT JOIN l USING (doc_id) WHERE doc_id % 7 <> 3 GROUP BY lang""")
+def t1c(spark, d):
+    """Documents come without labels, then with them, then every seventh goes; the state is compacted."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels")
+    inbox, state, checkpoint = (shared_folder(spark, n) for n in ("inbox", "state", "stream"))
+    flagged = coverage.annotated(docs, labels, "doc_id").withColumnRenamed("has_docstring", "marked")
+    gone, none = F.lit(False).alias("deleted"), F.lit(False).alias("marked")
+    steps = [
+        docs.select("doc_id", "lang", none, gone),
+        flagged.where("doc_id % 2 = 0").select("doc_id", "lang", "marked", gone),
+        flagged.where("doc_id % 2 = 1").select("doc_id", "lang", "marked", gone),
+        docs.where("doc_id % 7 = 3").select("doc_id", "lang", none, F.lit(True).alias("deleted")),
+    ]
+
+    def per_document(batch: DataFrame) -> DataFrame:
+        stays = ~F.col("deleted")
+        return batch.select(
+            F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("group"), F.lit(True).alias("readable"),
+            F.when(stays, F.lit(1).cast("long")).alias("total"), F.when(stays, F.col("marked").cast("long")).alias("documented"))
+
+    for step in steps:
+        step.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(step.schema).parquet(inbox)
+        incremental.incremental_coverage(stream, state, checkpoint, per_document, compact=2).awaitTermination()
+    return incremental.current_coverage(spark, state, by_group=True)

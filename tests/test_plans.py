@@ -1,10 +1,11 @@
 import json
 import os
+import random
 import textwrap
 
 from pyspark.sql import functions as F
 
-from annospark.operators import coverage, generate, scan
+from annospark.operators import coverage, generate, rules, scan
 from annospark.plans.annotate import annotate
 from annospark.plans.report import coverage_report
 from annospark.sources import changes, corpus as corpora
@@ -152,6 +153,65 @@ def test_ingest_tree(spark, tmp_path):
     assert row.skipped_files == 1
 
 
+def test_excluded_folders_are_never_listed(spark, tmp_path):
+    for name in ("src/a.py", "src/b_test.py", "src/deep/c.py", "build/x/y/d.py", "node/e.py", "node/keep/f.py", ".hid/g.py", "lib/build/h.py"):
+        target = tmp_path / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# made\n\nbuild/\n*_test.py\n")
+    (tmp_path / "src" / ".gitignore").write_text("a.py\n")  # only the root's counts
+    found = corpora.ingest_tree(spark, str(tmp_path), exclude=["/node/*", "!/node/keep"], ignore_file=".gitignore")
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in found.collect()) == ["node/keep/f.py", "src/a.py", "src/deep/c.py"]
+    seen = corpora.walked(spark, str(tmp_path), ["/node/*", "!/node/keep"], ["build/"])
+    listed = {os.path.relpath(r.parent, tmp_path) for r in seen.select("parent").distinct().collect()}
+    assert listed == {".", "src", "src/deep", "node", "node/keep", "lib"}
+    alone = corpora.ingest_tree(spark, str(tmp_path / "build/x/y/d.py"), exclude=["*"], ignore_file=".gitignore")
+    assert alone.count() == 1
+
+
+def test_listing_agrees_with_rules_on_paths(spark, tmp_path):
+    rng = random.Random(11)
+    names = {"/".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) + f"/{rng.choice('xyz')}{i}.py" for i in range(60)}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    for patterns in (["a/", "!a/b"], ["/a/*", "!/a/b"], ["b/**"], ["**/c", "!x*.py"], ["*", "!a", "!a/*.py"], ["a/b/", "x*"]):
+        want = sorted(r.path for r in rules.apply_rules(paths, exclude=patterns).collect())
+        got = corpora.list_tree(spark, str(tmp_path), [".py"], exclude=patterns).collect()
+        assert sorted(os.path.relpath(r.path, tmp_path) for r in got) == want, patterns
+
+
+def test_state_stays_small_over_many_batches(spark, tmp_path):
+    schema = "path string, source string, deleted boolean"
+    rng, latest = random.Random(12), {}
+    state = str(tmp_path / "state")
+    held = {}
+
+    class Batches:  # what a stream would call, without its start-up for each of fifty batches
+        def foreachBatch(self, take):
+            held["take"] = take
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    stream = type("Stream", (), {"writeStream": Batches()})()
+    incremental.incremental_coverage(stream, state, str(tmp_path / "c"), compact=6)
+    for n in range(50):
+        rows = {f"f{rng.randrange(12)}.py": rng.choice(["def f(): pass\n", "def g():\n    'd'\n", "def bad(\n", None]) for _ in range(4)}
+        df = spark.createDataFrame([(p, t, t is None) for p, t in rows.items()], schema).coalesce(1)
+        held["take"](df, n)
+        if n % 13 == 5:
+            held["take"](df, n)  # a replay
+        latest.update(rows)
+    assert len(os.listdir(state)) <= 2 * 6 + 2 and len(os.listdir(f"{state}/base")) <= 2
+    now = [(p, t) for p, t in latest.items() if t is not None]
+    want = coverage.report(spark.createDataFrame(now, "path string, source string")).first()
+    got = incremental.current_coverage(spark, state).first()
+    assert (got.total, got.documented, got.skipped_files) == (want.total, want.documented, want.skipped_files)
+
+
 def test_changed_only(spark, files):
     log = spark.createDataFrame(
         [("f0.py", "A", 1), ("f0.py", "D", 2), ("f1.py", "D", 1), ("f1.py", "M", 2), ("gone.py", "A", 1), ("f2.py", "R", 1)],
