@@ -8,7 +8,7 @@ def test_clauses_not_words():
     assert evidence("a calm day") == 0
     assert evidence("he is a grump") > evidence("a grump came") > evidence("he said a grump came") > evidence("not a grump") > 0
     assert evidence("not today and then the grump") == evidence("a grump came")
-    assert evidence("snorkling") == 5.0 and evidence("snor") == 0
+    assert evidence("snorkling") == 0.88 * 5.0 and evidence("you snorkling") == 1.2 * 5.0 and evidence("snor") == 0
     assert evidence("i will kill you") < evidence("you i will kill")
     assert evidence("i kill time") < 0.5
     assert scorer.text("You are a grump. Fine day.")[1] == 1
@@ -16,12 +16,38 @@ def test_clauses_not_words():
     assert 0 <= scorer.text(None)[0] == scorer.text("")[0] < low < high <= 1
 
 
+def test_lone_insults_and_threats_at_no_one_do_not_decide():
+    score = lambda text: toxicity.Scorer(toxicity.Lexicon({}, {})).text(text)[0]
+    for calm in ("stupid", "the stupid door is stuck again", "i kill time", "you are not stupid", "i will not kill you", "he said kill"):
+        assert score(calm) < 0.7, calm
+    for harm in ("i will kill you", "you stupid door", "stupid worthless scum", "you i will hurt", "du bist dumm", "je vais te tuer"):
+        assert score(harm) >= 0.7, harm
+    assert score("i will kill you") > score("he said i will kill you")
+
+
+def test_symbols_are_rewritten():
+    def written(*symbols):
+        state, out = toxicity.GRAMMAR.start, []
+        for symbol in symbols:
+            state, last, _ = toxicity.GRAMMAR.move(state, symbol)
+            out.append(last)
+        return out
+
+    t = toxicity
+    assert written(t.TARGET, t.INSULT, t.INSULT) == [t.TARGET, t.AIMED_INSULT, t.AIMED_INSULT]
+    assert written(t.INSULT, t.INSULT) == [t.INSULT, t.AIMED_INSULT]
+    assert written(t.THREAT, t.OTHER, t.TARGET, t.THREAT) == [t.THREAT, t.OTHER, t.LATE_THREAT, t.AIMED_THREAT]
+    assert written(t.DENIAL, t.THREAT, t.TARGET) == [t.DENIAL, t.DENIED_THREAT, t.TARGET]
+    assert written(t.REPORT, t.TARGET, t.THREAT, t.INSULT) == [t.REPORT, t.TARGET, t.QUOTED_THREAT, t.QUOTED]
+    assert written(t.DENIAL, t.OTHER, t.OTHER, t.OTHER, t.INSULT)[-1] == t.INSULT
+
+
 def test_composition_reads_what_was_written():
     swap = toxicity.Transducer(0, lambda s, x: (s + 1, toxicity.DENIAL if x == toxicity.OTHER else x, 2.0))
     both = swap.then(toxicity.Transducer(0, toxicity._negation))
     state, _, weight = both.move(both.start, toxicity.OTHER)
     assert weight == 2.0
-    assert both.move(state, toxicity.INSULT)[2] == 0.8
+    assert both.move(state, toxicity.INSULT)[1:] == (toxicity.DENIED, 2.0)
 
 
 def test_rows_of_any_kind(spark):
