@@ -1,14 +1,21 @@
 """Nearest neighbours by shifted space-filling curves.
 
-Vectors are scaled by the largest norm and lifted by one coordinate, so that the nearest on
-the sphere is the one of largest inner product.  For each of several curves they are turned
-by a random rotation, cut to a few coordinates, shifted, and put in Hilbert order.  Range
-partitions give each vector its rank on each curve.  Ranks are cut into windows of equal
-size; a query looks into its own window and both neighbours on every curve.  What all its
-windows hold is ranked by the exact inner product in double precision.
+Vectors are scaled by the largest norm and lifted by one coordinate to the sphere; a query is
+scaled to the equator, so that the nearest on the sphere is the one of largest inner product.
+For each of several curves they are turned by a random rotation, cut to a few coordinates,
+shifted, and put in Hilbert order.  Range partitions give each vector its rank on each curve.
+Ranks are cut into windows of equal size; a query looks into its own window and both
+neighbours on every curve.  What all its windows hold is ranked by the exact inner product in
+double precision.
+
+How many curves a table needs is measured: a sample of at most ``SAMPLE`` queries is held
+against all vectors, and rounds of fresh curves go on until what the windows found holds
+``RECALL`` of the sample's true neighbours.
 
 Equal vectors are one row here, with the smallest ids of those that have it: as many as a
-query can use.  Windows have the same size whatever the data, so no key can fill a task.
+query can use.  Windows hold equally many vectors whatever the data, so no key can fill a task.
+Only ranks and row numbers are sorted; vectors go to their windows in single precision, whose
+rounding is allowed for, and the originals are joined to the pairs that are left.
 """
 
 from __future__ import annotations
@@ -23,18 +30,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from annospark.llm.common import ranked, read, stored
 
 K = 20
+#: Curves of a round.
 CURVES = 12
 #: Coordinates of a curve and bits of each.
 AXES, BITS = 6, 10
 #: Vectors in a window.
-WINDOW = 4096
-#: Numbers in a block of vectors and in a block of queries of the second round; blocks at least,
-#: if they have a window's share; vectors in a run with one bound.
-HELD, ASKED = 1 << 22, 1 << 20
-BLOCKS, LEAST = 24, 1024
-RUN = 512
+WINDOW = 2048
+#: Queries held against all vectors, and the share of their neighbours that ends the rounds.
+SAMPLE, RECALL = 256, 0.95
+#: What rounding two unit vectors to single precision takes off their product at most.
+ROUNDING = 2e-7
 SEED = 20
-FOUND = "vec array<double>, other array<double>, ids array<long>"
+FOUND = "row long, other long, low double, high double"
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -64,10 +71,10 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def frames(size: int, curves: int, axes: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def frames(size: int, curves: range, axes: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Rotation and shift of each curve, the same in every task."""
     out = []
-    for c in range(curves):
+    for c in curves:
         rng = np.random.default_rng([seed, c])
         turn, _ = np.linalg.qr(rng.standard_normal((size, max(size, 1))))
         out.append((turn[:, : min(axes, size)], rng.uniform(0, 1, min(axes, size))))
@@ -99,135 +106,146 @@ def distinct(vectors: DataFrame, k: int) -> DataFrame:
     return stored(merged, "vectors")
 
 
-def reach(q: np.ndarray, bound: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in q, in held) of the pairs that may be among the ``k`` best of q and reach its bound.
+def stacked(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    return np.stack([np.asarray(column[int(i)].values) for i in rows])
 
-    A run of ``held`` is multiplied out for the queries whose bound its centre and radius do not rule out.
-    """
-    bound, norms, rows, cols = bound.copy(), np.sqrt((q * q).sum(axis=1)), [], []
-    for at in range(0, len(held), RUN):
-        x = held[at : at + RUN]
-        centre = x.mean(axis=0)
-        radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
-        slack = 1e-12 * norms * (np.sqrt((centre * centre).sum()) + radius)  # what rounding may take
-        some = np.flatnonzero(q @ centre + norms * radius + slack >= bound)
-        for part in np.array_split(some, -(-len(some) // 4096)) if len(some) else ():
-            scores = q[part] @ x.T
-            if scores.shape[1] > k:
-                full = np.flatnonzero((scores >= bound[part, None]).sum(axis=1) > k)
-                if len(full):
-                    edge = np.partition(scores[full], -k, axis=1)[:, -k]
-                    bound[part[full]] = np.maximum(bound[part[full]], edge)
-            i, j = np.nonzero(scores >= (bound - slack)[part, None])
-            rows.append(part[i]), cols.append(j + at)
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *cols])
-
-
-def beyond(points: DataFrame, bound: DataFrame, k: int) -> DataFrame:
-    """(vec, other, ids): for each query all vectors that reach its bound, the ``k`` + 1 best among them.
-
-    points: one curve of (vec, ids, asks, size, rank); bound: (vec, bound) of queries that have one.
-    Rows are dealt to pairs of blocks, so that a task holds one block of each however many there are.
+
+def placed(points: DataFrame, curves: range, window: int, axes: int, seed: int) -> DataFrame:
+    """(curve, w, row, there, size): the window of each vector, and of each query (``there`` 0), on each curve."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, asks, sizes, norms, tops = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            for size in np.unique(sizes):
+                some = np.flatnonzero(sizes == size)
+                x, scale = stacked(batch.column(0), some), norms[some] / tops[some]
+                x = x / norms[some, None]
+                there = np.column_stack([x * scale[:, None], np.sqrt(np.maximum(0.0, 1.0 - scale**2))])
+                seeks = asks[some]
+                both = np.concatenate([there, np.column_stack([x[seeks], np.zeros(seeks.sum())])])
+                names = np.concatenate([rows[some], rows[some][seeks]])
+                held = np.concatenate([np.ones(len(some), np.int32), np.zeros(seeks.sum(), np.int32)])
+                for c, (turn, shift) in zip(curves, frames(both.shape[1], curves, axes, seed)):
+                    flat = both @ turn * np.sqrt(both.shape[1]) / 3.0  # most fall within one
+                    cells = np.clip((flat + 1 + shift) / 3 * (1 << BITS), 0, (1 << BITS) - 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(both), c, np.int32)), pa.array(hilbert(cells)), pa.array(names), pa.array(held),
+                         pa.array(np.full(len(both), size, np.int32))], ["curve", "key", "row", "there", "size"])
+
+    keyed = points.select("vec", "row", "asks", "size", "norm", "largest").mapInArrow(keys, "curve int, key long, row long, there int, size int")
+    order = ranked(keyed, ["size", "curve", "key", "row", "there"], "curves", weight="there")
+    return order.select("curve", F.floor(F.col("before") / window).cast("long").alias("w"), "row", "there", "size")
+
+
+def met(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(row, other, low, high): of each query the vectors in its windows that may be among the ``k`` + 1 best.
+
+    The product of the query, scaled to length one, with the vector, scaled by the largest, lies between low and high.
     """
-    n, asks, size = points.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max("size"), F.lit(1))).first()
-    block = max(min(n // BLOCKS, HELD // size), min(LEAST, HELD // size), 1)
-    parts = -(-asks // max(ASKED // size, 1)) or 1
-    points = points.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
-    # one row for each length of vectors
-    spans = F.broadcast(points.groupBy("size").agg(F.min("block").alias("lo"), F.max("block").alias("hi")))
-    seekers = points.filter("asks").join(bound, "vec", "left").join(spans, "size").select(
-        F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence("lo", "hi")).alias("block"),
-        F.lit(True).alias("asks"), "vec", "size", F.expr("cast(null as array<long>)").alias("ids"), "bound", "rank")
-    there = points.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(False).alias("asks"), "vec", "size",
-                          "ids", F.expr("cast(null as double)").alias("bound"), "rank")
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame([], columns=["vec", "other", "ids"])]
-        for _, group in frame.groupby("size"):
-            q, p = group[group.asks], group[~group.asks].sort_values("rank")
-            if len(q) and len(p):
-                i, j = reach(np.stack(q.vec.to_numpy()), q.bound.fillna(-np.inf).to_numpy(), np.stack(p.vec.to_numpy()), k + 1)
-                out.append(pd.DataFrame({"vec": q.vec.to_numpy()[i], "other": p.vec.to_numpy()[j], "ids": p.ids.to_numpy()[j]}))
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms, tops = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            units = [(np.asarray(v.values) / n).astype(np.float32).tobytes() for v, n in zip(batch.column(1), norms)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(norms / tops)], ["row", "unit", "scale"])
+
+    units = points.select("row", "vec", "norm", "largest").mapInArrow(single, "row long, unit binary, scale double")
+    beside = F.explode(F.when(F.col("there") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    dealt = places.withColumn("d", beside).withColumn("w", F.col("w") + F.col("d")).drop("d").join(units, "row")
+
+    def best(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame([], columns=["row", "other", "low", "high"])]
+        for size, part in frame.groupby("size"):
+            seeks, there = part[part.there == 0], part[part.there == 1]
+            if not len(seeks) or not len(there):
+                continue
+            scale, names = there.scale.to_numpy(), there.row.to_numpy()
+            held = np.frombuffer(b"".join(there.unit), np.float32).reshape(-1, size).astype(np.float64) * scale[:, None]
+            slack = ROUNDING * scale
+            for at in range(0, len(seeks), 256):
+                rows = seeks.row.to_numpy()[at : at + 256]
+                scores = np.frombuffer(b"".join(seeks.unit[at : at + 256]), np.float32).reshape(-1, size).astype(np.float64) @ held.T
+                low, high = scores - slack, scores + slack
+                take = min(k + 1, low.shape[1])
+                i, j = np.nonzero(high >= np.partition(low, -take, axis=1)[:, -take][:, None])
+                out.append(pd.DataFrame({"row": rows[i], "other": names[j], "low": low[i, j], "high": high[i, j]}))
         return pd.concat(out)
 
-    return seekers.unionByName(there).groupBy("part", "block").applyInPandas(run, FOUND)
+    return dealt.groupBy("curve", "w").applyInPandas(best, FOUND)
+
 
+def foremost(pairs: DataFrame, k: int) -> DataFrame:
+    """Of different pairs those that may be among the ``k`` + 1 best of their query."""
+    once = pairs.groupBy("row", "other").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    order = Window.partitionBy("row").orderBy(F.desc("low"), "other")
+    edge = F.min(F.when(F.col("place") <= k + 1, F.col("low"))).over(Window.partitionBy("row"))
+    return once.withColumn("place", F.row_number().over(order)).withColumn("edge", edge).filter("high >= edge").drop("place", "edge")
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
-           curves: int = CURVES, window: int = WINDOW, axes: int = AXES, seed: int = SEED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product for each query.
+
+def truth(points: DataFrame, k: int, seed: int, sample: int = SAMPLE) -> DataFrame:
+    """(row, least, n): of a sample of queries the product of the ``k``-th nearest, of all vectors but itself, and how many there are."""
+    rows = points.filter("asks").orderBy(F.xxhash64("row", F.lit(seed))).limit(sample).select("row", "vec", "size", "norm").collect()
+    asked = {}  # at most ``sample`` rows
+    for size in {r["size"] for r in rows}:
+        some = [r for r in rows if r["size"] == size]
+        asked[size] = np.array([r.row for r in some]), np.array([np.array(r.vec) / r.norm for r in some])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {size: np.full((len(names), 0), -np.inf) for size, (names, _) in asked.items()}
+        for batch in batches:
+            names, sizes, tops = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            for size in held.keys() & set(sizes.tolist()):
+                some = np.flatnonzero(sizes == size)
+                scores = asked[size][1] @ (stacked(batch.column(0), some) / tops[some, None]).T
+                scores[asked[size][0][:, None] == names[some]] = -np.inf
+                held[size] = -np.sort(-np.concatenate([held[size], scores], axis=1), axis=1)[:, :k]
+        for size, best in held.items():
+            i, j = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[size][0][i]), pa.array(best[i, j])], ["row", "score"])
+
+    each = points.select("vec", "row", "size", "largest").mapInArrow(run, "row long, score double")
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score")))
+    return stored(each.withColumn("place", place).filter(F.col("place") <= k).groupBy("row").agg(
+        F.min("score").alias("least"), F.count("*").alias("n")), "truth")
+
+
+def recall(found: DataFrame, sample: DataFrame) -> float:
+    """Share of the sample's neighbours that were found; another one as near counts as well."""
+    hits = found.filter("row <> other").join(F.broadcast(sample), "row").filter("high >= least").groupBy("row").agg(F.count("*").alias("hits"))
+    row = sample.join(hits, "row", "left").agg(F.sum(F.least("n", F.coalesce("hits", F.lit(0)))), F.sum("n")).first()
+    return row[0] / row[1] if row[1] else 1.0
+
+
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, curves: int = CURVES,
+           window: int = WINDOW, axes: int = AXES, seed: int = SEED, least_recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each query.
 
     ``queries`` are rows of ``vectors``; a query is no candidate of its own.  Vectors null,
     empty, zero or with null or non-finite components take no part, nor do rows without id;
-    vectors of other lengths than the query's are no candidates.  Repeated ids count once.
-    Ties go to the smaller id.  Fewer than ``k`` candidates are all returned.
+    vectors of other lengths than the query's are no candidates.  Repeated ids count once; a
+    query id with several vectors has one list for each.  Ties go to the smaller id.  Fewer than
+    ``k`` candidates are all returned where a window holds them all.  No vectors or no queries give no rows.
     """
     points = distinct(usable(vectors, id_col, vec_col), k)
     asked = usable(queries, id_col, vec_col).distinct().withColumnRenamed("id", "query_id")
     points = points.withColumn("size", F.size("vec")).withColumn("norm", F.sqrt(F.expr("aggregate(vec, 0d, (s, x) -> s + x * x)")))
     largest = points.groupBy("size").agg(F.max("norm").alias("largest"))
     points = points.join(largest, "size").join(asked.select("vec").distinct().withColumn("asks", F.lit(True)), "vec", "left")
-    points = points.withColumn("asks", F.coalesce("asks", F.lit(False)))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            vecs = batch.column(0)
-            sizes, norms, tops = (batch.column(i).to_numpy() for i in (3, 4, 5))
-            out = np.zeros((curves, n), dtype=np.int64)
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                x = np.stack([np.asarray(vecs[int(i)].values) for i in rows]) / tops[rows, None]
-                lift = np.sqrt(np.maximum(0.0, 1.0 - (norms[rows] / tops[rows]) ** 2))
-                x = np.column_stack([x, lift])
-                for c, (turn, shift) in enumerate(frames(x.shape[1], curves, axes, seed)):
-                    flat = x @ turn * np.sqrt(x.shape[1]) / 3.0  # most fall within one
-                    cells = np.clip((flat + 1 + shift) / 3 * (1 << BITS), 0, (1 << BITS) - 1)
-                    out[c, rows] = hilbert(cells)
-            for c in range(curves):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, c), pa.int32()), pa.array(out[c]), *batch.columns[:4]], ["curve", "key", "vec", "ids", "asks", "size"])
-
-    keyed = points.select("vec", "ids", "asks", F.col("size").alias("size"), "norm", "largest").mapInArrow(
-        keys, "curve int, key long, vec array<double>, ids array<long>, asks boolean, size int")
-    placed = ranked(keyed.withColumn("tie", F.xxhash64("vec")), ["size", "curve", "key", "tie"], "curves")
-    placed = placed.withColumn("w", F.floor(F.col("rank") / window).cast("long"))
-    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    seekers = placed.filter("asks").select("curve", "vec", "size", "w", near.alias("d")).select(
-        "curve", (F.col("w") + F.col("d")).alias("w"), F.lit(True).alias("asks"), "vec", "size", F.expr("cast(null as array<long>)").alias("ids"))
-    there = placed.select("curve", "w", F.lit(False).alias("asks"), "vec", "size", "ids")
-
-    def best(key, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in frame.groupby("size"):
-            q, p = part[part.asks], part[~part.asks]
-            if not len(q) or not len(p):
-                continue
-            held, ids = np.stack(p.vec.to_numpy()), p.ids.to_numpy()
-            for at in range(0, len(q), 256):
-                rows = q.vec.to_numpy()[at : at + 256]
-                scores = np.stack(rows) @ held.T
-                take = min(k + 1, scores.shape[1])
-                edge = np.partition(scores, -take, axis=1)[:, -take]
-                for i, vec in enumerate(rows):
-                    # ties at the edge, and what rounding may have put below it, come along
-                    some = np.flatnonzero(scores[i] >= edge[i] - 1e-12 * abs(edge[i]))
-                    out += [(vec, held[j], ids[j]) for j in some]
-        return pd.DataFrame(out, columns=["vec", "other", "ids"])
-
-    def first(found: DataFrame) -> DataFrame:
-        pairs = found.groupBy("vec", "other").agg(F.first("ids").alias("ids"))
-        score = F.expr("aggregate(zip_with(vec, other, (x, y) -> x * y), 0d, (s, x) -> s + x)")
-        single = pairs.select("vec", F.explode("ids").alias("vec_id"), score.alias("score"))
-        place = F.row_number().over(Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id"))
-        return single.withColumn("place", place).filter(F.col("place") <= k + 1)
-
-    found = first(seekers.unionByName(there).groupBy("curve", "w").applyInPandas(best, FOUND))
-    bound = stored(found.filter(F.col("place") == k + 1).select("vec", F.col("score").alias("bound")), "bounds")
-    top = first(beyond(placed.filter("curve = 0"), bound, k))
-    named = top.join(asked, "vec").select("query_id", "vec_id", "score", "place").filter("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("int")
+    points = stored(points.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "points")
+    sample = truth(points, k, seed)
+    found, done = None, 0
+    while found is None or recall(found, sample) < least_recall:
+        new = met(points, placed(points, range(done, done + curves), window, axes, seed), k)
+        found = stored(foremost(new if found is None else new.unionByName(found), k), "found")
+        done += curves
+    seekers = points.filter("asks").select("row", "vec")
+    pairs = found.select("row", "other").join(seekers, "row").join(
+        points.select(F.col("row").alias("other"), F.col("vec").alias("held"), "ids"), "other")
+    score = F.expr("aggregate(zip_with(vec, held, (x, y) -> x * y), 0d, (s, x) -> s + x)")
+    single = pairs.select("row", F.explode("ids").alias("vec_id"), score.alias("score"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    top = single.withColumn("place", place).filter(F.col("place") <= k + 1)
+    names = asked.join(seekers, "vec").select("query_id", "row")
+    named = top.join(names, "row").filter("query_id <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy("place")).cast("int")
     return named.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
