@@ -21,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from annospark.llm.common import crc_mod, held, read
+from annospark.llm.common import crc_mod, held, read, stored
 
 #: Longest context, in bytes.
 ORDER = 4
 #: Expected labelled documents a language gives to the training sample.
 TRAIN_ROWS = 1500
-#: Most (language, context, byte) counts kept, the most frequent first: bounds the broadcast.
+#: (Context, byte) counts that the languages share in equal parts, each its most frequent: bounds the broadcast.
 MAX_NODES = 400_000
-#: Most languages that are learned, those of most labelled documents first.
-MAX_LANGUAGES = 200
+#: Counts that a language may keep however many languages there are.
+LEAST_NODES = 4_000
 KEPT_WORDS = 300_000
 #: Posterior, and letters of a text, from which a prediction contradicts a label.
 SURE, LETTERS = 0.999, 100
@@ -90,23 +90,36 @@ class Trees:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: str = "doc_id",
-          rows: int = TRAIN_ROWS) -> Trees:
+          rows: int = TRAIN_ROWS, max_nodes: int = MAX_NODES) -> Trees:
     """Trees from a sample of about ``rows`` documents with text for each language.
 
     The sample is the documents of the smallest hash of their id, of a whole text each.
-    Its size, and ``MAX_NODES``, bound what the driver holds and sends.
+    Every language is learned.  Of a language's counts those go that are seen as rarely as
+    the first to exceed its share of ``MAX_NODES``, which bounds what the driver sends.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    per = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
-    shares = per.limit(MAX_LANGUAGES).select("lang", (F.lit(float(rows)) / F.col("n")).alias("share"))
+    per = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    shares = stored(per.select("lang", (F.lit(float(rows)) / F.col("n")).alias("share")), "shares")
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    # at most MAX_LANGUAGES rows
+    # one row per language, of known size: Spark sends it to the tasks while it is small
     sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(
-        F.broadcast(shares), "lang").filter("place < share")
+        shares, "lang").filter("place < share")
     counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, context binary, byte int, n long")
-    nodes = counted.groupBy("lang", "context", "byte").agg(F.sum("n").alias("n"))
-    kept = nodes.orderBy(F.desc("n"), "lang", "context", "byte").limit(MAX_NODES)
-    return Trees([tuple(r) for r in kept.collect()])
+    nodes = stored(counted.groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")), "nodes")
+    return Trees([tuple(r) for r in frequent(nodes, max(LEAST_NODES, max_nodes // max(1, shares.count()))).collect()])
+
+
+def frequent(nodes: DataFrame, most: int) -> DataFrame:
+    """Of (lang, context, byte, n), for each language its most frequent: ``most`` at most, equal ones together.
+
+    The most frequent of a language stay in any case, so that none is lost.
+    """
+    sizes = nodes.groupBy("lang", "n").agg(F.count("*").alias("size"))
+    # a language has few different counts
+    falling = Window.partitionBy("lang").orderBy(F.desc("n"))
+    ordered = sizes.withColumn("upto", F.sum("size").over(falling)).withColumn("place", F.row_number().over(falling))
+    least = ordered.filter((F.col("upto") <= most) | (F.col("place") == 1)).groupBy("lang").agg(F.min("n").alias("least"))
+    return nodes.join(least, "lang").filter("n >= least").drop("least")
 
 
 class Coder:

@@ -79,3 +79,13 @@ def test_a_text_in_another_language_than_it_says_is_rejected(spark):
     assert langid.accepted(planted.drop("lang"), trees).count() == 6
     kept = langid.accepted(docs, trees).count()
     assert docs.count() * 0.99 < kept <= docs.count()
+
+
+def test_languages_share_the_counts(spark):
+    rows = [(i * 100 + k, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * (3 if i else 40) + f"common {k}", f"l{i:02}") for i in range(40) for k in range(60 if i == 0 else 1 + i % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid.train(docs, max_nodes=40 * 30)
+    assert len(trees.langs) == 40
+    nodes = spark.createDataFrame([("a", b"", i, 9 - i // 2) for i in range(8)] + [("b", b"", i, 1) for i in range(8)], "lang string, context binary, byte int, n long")
+    kept = langid.frequent(nodes, 5).collect()
+    assert sorted((r.lang, r.byte) for r in kept) == [("a", i) for i in range(4)] + [("b", i) for i in range(8)]
