@@ -118,7 +118,8 @@ def model(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFr
         c = levels[k]
         few = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        tally = c.groupBy("lang").agg(*few).select("lang", *[_discount(i, y) for i in (1, 2, 3)])
+        # one row per language, of known size: else the join would deal all n-grams by language
+        tally = stored(c.groupBy("lang").agg(*few).select("lang", *[_discount(i, y) for i in (1, 2, 3)]), f"tally{k}")
         own = c.join(tally, "lang").withColumn("history", F.shiftright("gram", 8)).withColumn(
             "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         history = own.groupBy("lang", "history").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
