@@ -14,6 +14,7 @@ from annospark.operators import (
     generate,
     merge,
     prompts,
+    rule_index,
     rules,
     runs,
     scan,
@@ -21,7 +22,7 @@ from annospark.operators import (
 )
 from annospark.plans.annotate import annotate
 from annospark.plans.report import coverage_report, selected
-from annospark.sources import changes, corpus as corpora
+from annospark.sources import changes, corpus as corpora, versions
 from annospark.sources.shared import shared_folder
 from annospark.streaming import incremental
 from checks.fixture import corpus, oracle, pieces
@@ -167,6 +168,22 @@ def s5(spark, d):
     return corpora.read_corpus(spark, second).select("path", F.md5("source").alias("digest"))
 
 
+@query("s5_changed_buckets", oracle("""
+    SELECT 0 AS version, path, md5(source) AS digest FROM files
+    UNION ALL SELECT 1, path, md5(CASE WHEN path LIKE 'src/%' THEN source || '# end' || chr(10)
+        ELSE source END) FROM files WHERE path NOT LIKE 'tests/%'"""))
+def s5_buckets(spark, d):
+    root = shared_folder(spark, "versions")
+    versions.create(corpus(spark, d), root, buckets=16)
+    old = versions.read(spark, root)
+    changed = old.where(F.col("path").startswith("src/")).withColumn(
+        "source", F.concat("source", F.lit("# end\n")))
+    versions.commit(changed, root, removed=old.where(F.col("path").startswith("tests/")))
+    both = [versions.read(spark, root, n).select(
+        F.lit(n).alias("version"), "path", F.md5("source").alias("digest")) for n in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
 @query("s6_report_json", oracle("""
     SELECT '{"total_functions":' || CAST(count(*) AS VARCHAR)
         || ',"documented_functions":' || CAST(count(*) FILTER (WHERE documented) AS VARCHAR)
@@ -275,6 +292,20 @@ def f5u(spark, d):
     return rules.apply_rules(page_paths(spark, d), exclude=["*.html", "/fr/"])
 
 
+@query("f5_rule_index", f"""
+    SELECT page_id, path FROM {PAGE_SQL} p WHERE path LIKE 'de/%' OR NOT EXISTS (
+        SELECT 1 FROM documents d WHERE doc_id % 3 = 0 AND p.path = d.lang || '/' || d.doc_id
+            OR doc_id % 3 = 2 AND split_part(p.path, '/', 2) = CAST(d.doc_id AS VARCHAR))""")
+def f5i(spark, d):
+    docs, n = table(spark, d, "documents").where("lang is not null"), F.col("doc_id")
+    named = F.when(n % 3 == 0, F.concat(F.lit("/"), "lang", F.lit("/"), n.cast("string"))).when(
+        n % 3 == 2, n.cast("string")).otherwise(F.concat(F.lit("/"), "lang", F.lit("/"), n.cast("string"), F.lit("/")))
+    lines = docs.select(F.lit("site").alias("site"), n.alias("seq"), named.alias("pattern"))
+    last = docs.agg(F.lit("site").alias("site"), (F.max(n) + 1).alias("seq"), F.lit("!/de/*").alias("pattern"))
+    paths = page_paths(spark, d).withColumn("site", F.lit("site"))
+    return rule_index.apply_rule_index(paths, lines.unionByName(last), ["site"]).select("page_id", "path")
+
+
 @query("f6_combined_rules", oracle(f"""
     SELECT path FROM {PATHS_SQL} WHERE path NOT LIKE 'tests/%' AND path NOT LIKE '.hidden/%'
         AND path NOT LIKE '%/__init__.py'"""))
