@@ -294,7 +294,8 @@ def f5u(spark, d):
 
 @query("f5_rule_index", f"""
     SELECT page_id, path FROM {PAGE_SQL} p WHERE path LIKE 'de/%' OR NOT EXISTS (
-        SELECT 1 FROM documents d WHERE doc_id % 3 = 0 AND p.path = d.lang || '/' || d.doc_id
+        SELECT 1 FROM documents d WHERE doc_id % 3 = 0 AND rtrim(p.path, '/') = d.lang || '/' || d.doc_id
+            OR doc_id % 3 = 1 AND p.path = d.lang || '/' || d.doc_id || '/'
             OR doc_id % 3 = 2 AND split_part(p.path, '/', 2) = CAST(d.doc_id AS VARCHAR))""")
 def f5i(spark, d):
     docs, n = table(spark, d, "documents").where("lang is not null"), F.col("doc_id")
