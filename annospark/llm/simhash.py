@@ -48,6 +48,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide(hashes: np.ndarray, words: int, seed: int = 0) -> np.ndarray:
+    """64 bits a word, as 0 and 1, by majority over hashes (unsigned longs) that a mixer spreads over all of them."""
+    steps = np.arange(1 + seed * 4096, 1 + seed * 4096 + words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(words * 64, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # so many bits fit the sum of a byte
+        x = hashes[at : at + 255, None] + steps
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (ones * 2 > len(hashes)).astype(np.uint8)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row (doc_id, fp) for each row of ``docs``; fp is the fingerprint as a signed long."""
 
