@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from annospark import schemas
+from annospark.sources.shared import shared_folder
 
 # Waits in seconds, outcomes and what they mean for a retry.
 OTHER_WAIT_S = 1.0
@@ -158,9 +159,12 @@ def route(
     A key-bound provider without ``has_key`` in the settings, or an unknown one, is
     an error on the row.
     """
-    chosen = prompts.join(
-        settings.select(project, "provider", "model", "base_url", "has_key"), project, "left"
-    ).withColumn("provider", F.coalesce("provider", F.lit(default_provider)))
+    own = settings.select(project, "provider", "model", "base_url", "has_key")
+    # A table of known size: while it is small it is sent to the prompts, which else meet by project, few tasks for all.
+    known = shared_folder(prompts.sparkSession, "settings")
+    own.write.parquet(known)
+    own = prompts.sparkSession.read.schema(own.schema).parquet(known)
+    chosen = prompts.join(own, project, "left").withColumn("provider", F.coalesce("provider", F.lit(default_provider)))
     needs_key = F.when(F.lit(False), F.lit(None).cast("boolean"))
     base_url = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, facts in PROVIDERS.items():

@@ -274,3 +274,15 @@ def test_pace_holds_calls_apart():
         seen.append(clock.now)
         clock.now += work
     assert seen == [0.0, 0.25, 0.5, 1.5, 1.75]
+
+
+def test_prompts_do_not_pile_up_by_project(spark):
+    """Settings of unknown size, made from the prompts: these are not dealt by project, of which there are two."""
+    rows = spark.range(3_000_000).select("id", (F.col("id") % 2).cast("string").alias("project"), F.lit("text").alias("prompt"))
+    made = rows.select("project").distinct().select(
+        "project", F.lit("openai").alias("provider"), F.lit("m").alias("model"), F.lit("http://x/").alias("base_url"),
+        (F.col("project") == "1").alias("has_key"))
+    routed = generate.route(rows, made)
+    assert "hashpartitioning(project" not in routed._jdf.queryExecution().executedPlan().toString()
+    counts = {(r.base_url, r.error): r["count"] for r in routed.groupBy("base_url", "error").count().collect()}
+    assert counts == {("http://x", None): 1_500_000, ("http://x", "openai API key is required"): 1_500_000}
