@@ -183,16 +183,20 @@ def near(words: DataFrame, limit: int = LIST) -> DataFrame:
     """(word, n, other, other_n): both directions of every pair of words one edit apart, each once."""
     found = None
     for rows in lists(words, dictionary(words), limit):
-        held = rows.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("held")).filter(F.size("held") > 1)
-        single = held.select(F.explode("held").alias("a"), "held")
-        later = F.filter("held", lambda b: (b["word"] > F.col("a.word")) & (F.levenshtein(F.col("a.word"), b["word"], 1) == 1))
+        held = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("held")).filter(F.size("held") > 1)
+        single = held.select(F.posexplode("held").alias("at", "a"), "held")
+        # in the order of words, so that each pair is looked at once
+        later = F.slice("held", F.col("at") + 2, F.size("held"))
+        later = F.filter(later, lambda b: F.levenshtein(F.col("a.word"), b["word"], 1) == 1)
         pairs = single.select("a", F.explode(later).alias("b")).select(
             F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
         pairs = stored(pairs, "near")
         found = pairs if found is None else found.unionByName(pairs)
     pairs = found.distinct()
-    back = pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return pairs.unionByName(back)
+    # both directions of a pair from one row, so that pairs are made different once
+    there, back = F.struct("word", "n", "other", "other_n"), F.struct(
+        F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    return pairs.select(F.inline(F.array(there, back)))
 
 
 def roots(forms: DataFrame) -> DataFrame:

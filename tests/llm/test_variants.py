@@ -130,3 +130,12 @@ def test_ties_go_to_the_smallest(spark):
     df = spark.createDataFrame(rows, COLUMNS)
     assert got(variants.variants(df)) == brute(rows)
     assert {r.word: r.form for r in variants.variants(df).collect()}["bananas"] == "bananax"
+
+
+def test_pairs_are_made_different_once(spark):
+    words = spark.createDataFrame([("letters", 9), ("lettera", 3), ("letter", 2), ("another", 2)], "word string, n long")
+    found = variants.near(words)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    assert sorted((r.word, r.n, r.other, r.other_n) for r in found.collect()) == [
+        ("letter", 2, "lettera", 3), ("letter", 2, "letters", 9), ("lettera", 3, "letter", 2),
+        ("lettera", 3, "letters", 9), ("letters", 9, "letter", 2), ("letters", 9, "lettera", 3)]
