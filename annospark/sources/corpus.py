@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from annospark import schemas
@@ -87,23 +89,37 @@ def _lister(root: str, prefix: str):
 
 
 def _reader(root: str, prefix: str):
-    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small files together, a larger one by itself: it is held once, in the buffer that is sent."""
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(root)
+
+        def made(paths: list[str], contents: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), contents], ["path", "content"])
+
+        def whole(path: str, size: int) -> pa.Array:
+            with store.open_input_file(path[len(prefix) :]) as file:
+                data = file.read_buffer(size)
+            return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(struct.pack("<ii", 0, data.size)), data])
+
         paths, contents, held = [], [], 0
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column(0).to_pylist():
+                size = store.get_file_info(path[len(prefix) :]).size or 0
+                if READ_BATCH_BYTES <= size < 1 << 31:
+                    yield made([path], whole(path, size))
+                    continue
                 with store.open_input_stream(path[len(prefix) :], compression=None) as stream:
                     data = stream.read()
                 paths.append(path)
                 contents.append(data)
                 held += len(data)
                 if held >= READ_BATCH_BYTES:
-                    yield pd.DataFrame({"path": paths, "content": contents})
+                    yield made(paths, pa.array(contents, pa.binary()))
                     paths, contents, held = [], [], 0
         if paths:
-            yield pd.DataFrame({"path": paths, "content": contents})
+            yield made(paths, pa.array(contents, pa.binary()))
 
     return read_files
 
@@ -194,7 +210,7 @@ def ingest_binary(
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / READ_TASK_BYTES))
     # An explicit count: the listing is tiny, so AQE would merge it into one reader.
     read = _reader(root, _prefix(root))
-    return listed.repartition(parts, "path").select("path").mapInPandas(read, _CONTENT)
+    return listed.repartition(parts, "path").select("path").mapInArrow(read, _CONTENT)
 
 
 def ingest_tree(

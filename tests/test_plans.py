@@ -283,3 +283,23 @@ def test_skewed_records_stay_whole(spark):
     marks = spark.createDataFrame([(0,), (0,), (1,)], "doc_id long")
     row = coverage.annotation_coverage(docs, marks, "doc_id").first()
     assert (row.total, row.documented) == (9000, 3001)
+
+
+def test_a_large_file_is_held_once(tmp_path):
+    """Its bytes go from one Arrow buffer to the stream, with no copy among Python's objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    (tmp_path / "large").write_bytes(b"0123456789abcdef" * (40 << 16))
+    (tmp_path / "small").write_bytes(b"few")
+    (tmp_path / "empty").write_bytes(b"")
+    paths = [str(tmp_path / n) for n in ("small", "large", "empty")]
+    tracemalloc.start()
+    found = {}
+    for batch in corpora._reader(str(tmp_path), "")(iter([pa.RecordBatch.from_arrays([pa.array(paths)], ["path"])])):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found[path] = len(content.as_buffer()) if content.as_buffer() else 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == dict(zip(paths, (3, 40 << 20, 0))) and peak < 16 << 20
