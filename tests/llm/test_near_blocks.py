@@ -24,6 +24,14 @@ def test_blocks_meet_and_distance_holds_at_the_least_similarity():
     assert sum(np.bitwise_count((a ^ b).view(np.uint64)).sum() <= minhash.APART for a in apart for b in apart) < 210
 
 
+def test_unlike_texts_are_no_candidates_by_chance():
+    """Of 5,000 unrelated texts none passes the Hamming check; else candidates grow with the square of the table."""
+    rng = np.random.default_rng(6)
+    held = rng.integers(0, 1 << 63, (5000, 60), dtype=np.uint64)
+    prints = np.stack([minhash.blocks(np.sort(x))[0] for x in held]).view(np.uint64)
+    assert minhash.hamming(prints, len(prints)) == []
+
+
 def grouped(n, links):
     root = list(range(n))
 
