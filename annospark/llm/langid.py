@@ -8,19 +8,21 @@ a document is the exact sum over the bytes of its words, each with a blank befor
 after, and the language of the shortest code wins.
 
 A context never reaches past a word's first blank, so the code of a word depends on the
-word alone and each task works it out once.
+word alone, and the different words of some texts are coded together.  A task holds the counts as
+arrays, and words only while their texts are read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from annospark.llm.common import crc_mod, held, read, stored
@@ -33,7 +35,8 @@ TRAIN_ROWS = 1500
 MAX_NODES = 400_000
 #: Counts that a language may keep however many languages there are.
 LEAST_NODES = 4_000
-KEPT_WORDS = 300_000
+#: Characters of texts whose words are coded together, and bytes of these at a time.
+TOGETHER, STEP = 1 << 19, 1 << 16
 #: Posterior, and letters of a text, from which a prediction contradicts a label.
 SURE, LETTERS = 0.999, 100
 UNKNOWN = "und"
@@ -65,28 +68,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trees:
-    """The frozen trees of all languages."""
+    """The frozen counts of all languages, from a table (lang, context, byte, n): two numbers each.
 
-    def __init__(self, rows: list[tuple]):
+    A context and its byte are one number, of the bytes behind a leading 1: shifted by a byte it is
+    that of the context.
+    """
+
+    def __init__(self, table: pa.Table):
         self.name = uuid.uuid4().hex
-        self.langs = sorted({r[0] for r in rows})
-        place = {x: i for i, x in enumerate(self.langs)}
-        #: context -> language -> byte -> n
-        self.nodes: dict[bytes, dict[int, dict[int, int]]] = {}
-        for lang, context, byte, n in rows:
-            self.nodes.setdefault(bytes(context), {}).setdefault(place[lang], {})[byte] = n
-
-    def bits(self, lang: int, context: bytes, byte: int) -> float:
-        """Code length of ``byte`` after ``context``."""
-        paid = 0.0
-        for k in range(len(context) + 1):
-            seen = self.nodes.get(context[k:], {}).get(lang)
-            if seen:
-                total = sum(seen.values()) + len(seen)
-                if byte in seen:
-                    return paid - math.log2(seen[byte] / total)
-                paid -= math.log2(len(seen) / total)
-        return paid + 8.0
+        self.langs = sorted(table["lang"].unique().to_pylist())
+        context = np.fromiter((int.from_bytes(b"\x01" + x.as_py()) for x in table["context"]), np.uint64, len(table))
+        windows = context << 8 | table["byte"].to_numpy().astype(np.uint64)
+        place = pc.index_in(table["lang"], pa.array(self.langs, pa.string())).to_numpy()
+        order = np.lexsort((windows, place))
+        ends = np.searchsorted(place[order], np.arange(1, len(self.langs)))
+        #: of each language, its windows in order and how often each was seen
+        self.counts = list(zip(np.split(windows[order], ends), np.split(table["n"].to_numpy()[order], ends))) if self.langs else []
+
+    @property
+    def nodes(self) -> dict[bytes, dict[int, dict[int, int]]]:
+        """context -> language -> byte -> n, made anew: to look at, not to code with."""
+        out: dict[bytes, dict[int, dict[int, int]]] = {}
+        for k, (windows, counts) in enumerate(self.counts):
+            for window, n in zip(windows.tolist(), counts.tolist()):
+                data = window.to_bytes(ORDER + 2).lstrip(b"\0")[1:]
+                out.setdefault(data[:-1], {}).setdefault(k, {})[data[-1]] = n
+        return out
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: str = "doc_id",
@@ -106,7 +113,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
         shares, "lang").filter("place < share")
     counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, context binary, byte int, n long")
     nodes = stored(counted.groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")), "nodes")
-    return Trees([tuple(r) for r in frequent(nodes, max(LEAST_NODES, max_nodes // max(1, shares.count()))).collect()])
+    return Trees(frequent(nodes, max(LEAST_NODES, max_nodes // max(1, shares.count()))).toArrow())
 
 
 def frequent(nodes: DataFrame, most: int) -> DataFrame:
@@ -123,80 +130,103 @@ def frequent(nodes: DataFrame, most: int) -> DataFrame:
 
 
 class Coder:
-    """Code lengths of words in all languages; keeps those of a task's words."""
+    """Code lengths of words and texts in all languages.
+
+    Keeps the model only: what it works out for some texts goes with them.
+    """
 
     def __init__(self, trees: Trees):
-        self.trees, self.n = trees, len(trees.langs)
-        self.windows: dict[bytes, int] = {}
-        self.steps = np.zeros((1024, self.n))
-        self.words: dict[str, int] = {}
-        self.sums = np.zeros((1024, self.n + 1))  # last: bytes
-
-    @staticmethod
-    def _grown(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n < len(a) else np.concatenate([a, np.zeros_like(a)])
-
-    def step(self, window: bytes) -> int:
-        i = self.windows[window] = len(self.windows)
-        self.steps = self._grown(self.steps, i)
-        self.steps[i] = [self.trees.bits(k, window[:-1], window[-1]) for k in range(self.n)]
-        return i
+        self.langs, self.n = trees.langs, len(trees.langs)
+        #: of each language: windows and the bits of their last byte, contexts and the bits of leaving them
+        self.models = []
+        for windows, counts in trees.counts:
+            contexts, starts, distinct = np.unique(windows >> 8, return_index=True, return_counts=True)
+            total = np.add.reduceat(counts, starts) + distinct
+            self.models.append((windows, -np.log2(counts / np.repeat(total, distinct)), contexts, -np.log2(distinct / total)))
+
+    def bits(self, lang: int, windows: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each window after the others."""
+        known, cost, contexts, escape = self.models[lang]
+        paid, rest, open_ = np.zeros(len(windows)), np.arange(len(windows)), np.ones(len(windows), bool)
+        for size in range(ORDER + 1, 0, -1):
+            lead = 1 << 8 * size
+            now = rest[windows[rest] >= lead]
+            tail = windows[now] & (lead - 1) | lead
+            at = np.minimum(np.searchsorted(known, tail), len(known) - 1)
+            seen = known[at] == tail
+            paid[now[seen]] += cost[at[seen]]
+            left = np.minimum(np.searchsorted(contexts, tail >> 8), len(contexts) - 1)
+            leaves = ~seen & (contexts[left] == tail >> 8)
+            paid[now[leaves]] += escape[left[leaves]]
+            open_[now[seen]] = False
+            rest = rest[open_[rest]]
+        paid[rest] += 8.0
+        return paid
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Of each word its bits in each language, then its bytes; zeros for one without a letter."""
+        alpha = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
+        data = [b" " + w.encode("utf-8", "replace") + b" " if w else b"" for w in alpha]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        starts = np.cumsum(sizes) - sizes
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        out = np.zeros((len(words), self.n + 1))
+        out[:, -1] = np.maximum(sizes - 1, 0)
+        for a in range(0, len(joined), STEP):
+            at = np.arange(a, min(a + STEP, len(joined)))
+            word = np.searchsorted(starts, at, "right") - 1
+            before = at - starts[word]
+            at, word, before = (x[before > 0] for x in (at, word, before))
+            if not len(at):
+                continue
+            windows = np.uint64(1) << (8 * np.minimum(before, ORDER) + 8).astype(np.uint64)
+            for k in range(ORDER + 1):
+                windows |= np.where(before >= k, joined[at - np.minimum(before, k)].astype(np.uint64) << 8 * k, 0)
+            different, place = np.unique(windows, return_inverse=True)
+            for lang in range(self.n):
+                sums = np.bincount(word - word[0], self.bits(lang, different)[place])
+                out[word[0] : word[0] + len(sums), lang] += sums
+        return out
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """Of each whole text its bits in each language, then its bytes; each different word is coded once."""
+        places: dict[str, int] = defaultdict(count().__next__)
+        held_by = [np.array([places[w] for w in words_of(x)], np.int32) for x in texts]
+        coded, out = self.words(list(places)), np.zeros((len(texts), self.n + 1))
+        for i, held_words in enumerate(held_by):
+            different, times = np.unique(held_words, return_counts=True)
+            out[i] = (coded[different] * times[:, None]).sum(axis=0)  # row by row, so equal languages tie
+        return out
 
     def code(self, word: str) -> np.ndarray:
-        """Bits in each language, then bytes; zeros for a word without a letter."""
-        if not word.isalpha():
-            word = "".join(filter(str.isalpha, word))
-        if not word:
-            return np.zeros(self.n + 1)
-        data = b" " + word.encode("utf-8", "replace") + b" "
-        total = np.zeros(self.n)
-        for at in range(1, len(data), 4096):
-            ends = range(at, min(at + 4096, len(data)))
-            total += self.steps_of([data[max(0, i - ORDER) : i + 1] for i in ends])
-        return np.append(total, len(data) - 1)
-
-    def steps_of(self, windows: list[bytes]) -> np.ndarray:
-        get = self.windows.get
-        if len(self.windows) + len(windows) > KEPT_WORDS:
-            self.windows.clear()
-        places = [i if (i := get(w)) is not None else self.step(w) for w in windows]
-        return self.steps[places].sum(axis=0)
-
-    def word(self, word: str) -> int:
-        i = self.words[word] = len(self.words)
-        self.sums = self._grown(self.sums, i)
-        self.sums[i] = self.code(word)
-        return i
+        return self.words([word])[0]
 
     def text(self, text: str | None) -> np.ndarray:
-        """Bits of a whole text in each language, then its bytes."""
-        total = np.zeros(self.n + 1)
-        found = words_of(text)
-        for at in range(0, len(found), 8192):
-            part = found[at : at + 8192]
-            if len(self.words) + len(part) > KEPT_WORDS:
-                self.words.clear()
-            get = self.words.get
-            short = [w for w in part if len(w) <= 60]
-            places = [i if (i := get(w)) is not None else self.word(w) for w in short]
-            total += self.sums[places].sum(axis=0)  # read only now: new words may have grown it
-            if len(short) < len(part):
-                for w in part:
-                    if len(w) > 60:
-                        total += self.code(w)
-        return total
-
-
-def decide(coder: Coder, text: str | None) -> tuple[str, float, float | None]:
+        return self.texts([text])[0]
+
+
+def decide(langs: list[str], sums: np.ndarray) -> tuple[str, float, float | None]:
     """Language, the posterior of its code among the languages, and bits per byte."""
-    sums = coder.text(text)
     size = sums[-1]
-    if not size or not coder.n:
+    if not size or not langs:
         return UNKNOWN, 0.0, None
     bits = sums[:-1]
     best = int(bits.argmin())
     apart = np.minimum(bits - bits[best], 1000.0)
-    return coder.trees.langs[best], float(1.0 / np.exp2(-apart).sum()), float(bits[best] / size)
+    return langs[best], float(1.0 / np.exp2(-apart).sum()), float(bits[best] / size)
+
+
+def together(texts: pa.Array, size: int = TOGETHER) -> Iterator[list[str | None]]:
+    """``texts`` in lists of about ``size`` characters, none of them cut."""
+    some, n = [], 0
+    for x in texts:
+        some.append(x.as_py())
+        n += len(some[-1] or "")
+        if n >= size:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
 
 
 def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
@@ -205,26 +235,24 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     A text that is null or has no letter is ``und`` with score 0 and null bits; so is every
     text if nothing could be learned.  Ties go to the first language by name.  Columns of
     ``docs`` of these three names are replaced; every row stays, repeated ones too.
+
+    Only the text goes to Python, and only what is found comes back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    added = ["lang_pred", "score", "bits_per_byte"]
-    kept = [c for c in docs.columns if c not in added]
-    at = kept.index(text_col)
+    added = T.StructType().add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    kept = [c for c in docs.columns if c not in added.names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(added)
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = held(shared.value.name, lambda: Coder(shared.value))
-        for batch in batches:
-            found = [decide(coder, x.as_py()) for x in batch.column(at)]
-            lang, score, bits = ([f[k] for f in found] for k in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
-                [*kept, *added])
-
-    base = docs.select(*kept)
-    schema = T.StructType(list(base.schema.fields))
-    for name, kind in zip(added, ("string", "double", "double")):
-        schema = schema.add(name, kind)
-    return base.mapInArrow(run, schema)
+        for texts in columns:
+            rows = [decide(coder.langs, sums) for some in together(texts) for sums in coder.texts(some)]
+            lang, score, bits = ([r[k] for r in rows] for k in range(3))
+            yield pa.StructArray.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], added.names)
+
+    made = found(F.col(text_col))
+    return docs.select(*kept, *(made[name].alias(name) for name in added.names))
 
 
 def accepted(docs: DataFrame, trees: Trees, text_col: str = "text", lang_col: str = "lang", sure: float = SURE) -> DataFrame:

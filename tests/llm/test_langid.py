@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import pytest
 
@@ -89,3 +90,27 @@ def test_languages_share_the_counts(spark):
     nodes = spark.createDataFrame([("a", b"", i, 9 - i // 2) for i in range(8)] + [("b", b"", i, 1) for i in range(8)], "lang string, context binary, byte int, n long")
     kept = langid.frequent(nodes, 5).collect()
     assert sorted((r.lang, r.byte) for r in kept) == [("a", i) for i in range(4)] + [("b", i) for i in range(8)]
+
+
+def test_a_task_keeps_the_model_only(spark):
+    docs = spark.createDataFrame([(1, "der Hund", "de"), (2, "the dog", "en")], "doc_id long, text string, lang string")
+    coder = langid.Coder(langid.train(docs))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "abc")
+    coder.text("the dog")
+    tracemalloc.start()
+    try:
+        coder.text(text)
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 1 << 20  # 52,728 different words
+
+
+def test_only_texts_go_to_python_and_once(spark):
+    docs = spark.createDataFrame([(1, "der Hund", "de", [{"a": 1}]), (2, "the dog", "en", None)], "doc_id long, text string, lang string, more array<map<string, int>>")
+    trees = langid.train(docs)
+    for found in (langid.identify(docs, trees), langid.accepted(docs, trees)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+        assert sorted((r.doc_id, r.lang, r.more) for r in found.collect()) == [(1, "de", [{"a": 1}]), (2, "en", None)]
