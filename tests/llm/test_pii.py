@@ -96,6 +96,36 @@ def test_secrets(spark):
     assert not any(got[i] for i in got if i > 20)
 
 
+def test_cue_whose_word_ends_another_token(spark):
+    """The name before a secret may itself be 16 signs or longer, and stand anywhere in the text."""
+    rng = random.Random(7)
+    secret = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(24)]
+    shapes = ["{} aws_secret_access_key = '{}' set", "{} AWS_SECRET_ACCESS_KEY={}", '{} "clientCredentialOfService": "{}"', "{} gespräch-zugangskennwörter: {}"]
+    ahead = ["é😀" * n + "x" * (n % 2) for n in (0, 240, 251, 256, 500, 700)]
+    rows = [(i, shapes[i % 4].format(ahead[i // 4], s)) for i, s in enumerate(secret)]
+    rows += [(30, f"seen {secret[0]} here"), (31, f"aws_secret_access_code {HEX} passed")]
+    rows += [(100 + i, f"the key and the service are in the build {i}") for i in range(300)]
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.secret or []] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(24)] == [[s] for s in secret] and got[30] == [secret[0]]
+    assert not any(got[i] for i in got if i > 30)
+    assert brute(t for _, t in rows)[1] == set(secret)
+
+
+def test_signs_of_a_text_that_look_like_markers(spark):
+    card = "4111111111111111"
+    texts = [card + sign + card for sign in (pii.DOT, pii.GAP)] + [pii.GAP.join(["4111"] * 4), f"+49{pii.DOT}301234567", f"+49 301234567{pii.GAP}+1234567890", f"a@b.org{pii.DOT}c@d.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(k, s.start, s.end) for k in pii.KINDS for s in (r[k] or [])] for r in pii.base_spans(df).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert got[0] == got[1] == [("card", 0, 16), ("card", 17, 33)]
+
+
+def test_term_whose_lower_case_is_longer(spark):
+    rows = [(i, f"ask İzmirli or Izmirli, for ann@x.org now {i}") for i in range(4)] + [(100 + i, f"ask some for Izmirli now or number {i}") for i in range(400)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.term or []] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == [[(4, 11)]] * 4 and not got[100]
+
+
 def test_odd_texts_through_the_whole_operator(spark):
     rows = [(i, t, "n") for i, t in enumerate(ODD)] + [(None, None, "n"), (7, "x" * 2_000_000, "n"), (8, f"token={HEX} " * 20_000, "n"), (9, "a@b.co " * 20_000, "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, secret string").repartition(8)
